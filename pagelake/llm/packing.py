@@ -38,39 +38,55 @@ _KNOWN: dict[str, "WordTokens"] = {}  # of this Python worker, for its next task
 
 
 class WordTokens(dict):
-    """word -> its ids as little-endian bytes. The vocabulary ends words at white space, so a text's ids are its
-    words' ids in order; only words not yet seen reach the tokenizer, many at a time."""
+    """word (UTF-8 bytes between ASCII white space) -> its ids as little-endian bytes. The tokenizer drops white space and
+    ends words there, so a text's ids are its words' ids in order; only words not yet seen reach the tokenizer, many at a time."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-
-    def learn(self, words: list[str]) -> None:
-        if len(self) + len(words) > self.limit:
-            self.clear()
-        # the tokenizer lower-cases and parts letters from a stop or comma, so those share their bare word's ids
-        bare = {w: (w[:-1].lower(), w[-1]) if w[-1] in ".," and w[:-1].isalpha() and w.isascii() else (w.lower() if w.isascii() else w, "") for w in words}
-        new = [x for x in {"." : 0, ",": 0} | {b: 0 for b, _ in bare.values()} if x not in self]
-        for i in range(0, len(new), 256):
-            part = new[i : i + 256]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: set[bytes]) -> None:
+        # the tokenizer lower-cases and parts letters from a stop or comma, so such words share their bare word's ids
+        bare = {}
+        for w in words:
+            if w.isalpha():
+                bare[w] = w.lower(), b""
+            elif w[-1:] in (b".", b",") and w[:-1].isalpha():
+                bare[w] = w[:-1].lower(), w[-1:]
+            else:
+                bare[w] = w, b""
+        new = [x for x in {b".": 0, b",": 0} | {b: 0 for b, _ in bare.values()} if x not in self]
+        plain, others = [x for x in new if x.isalpha() and x.isascii()], [x for x in new if not (x.isalpha() and x.isascii())]
+        for i in range(0, len(plain), 2048):  # letters only: one call for many words, parted at the ids that end a word
+            part = plain[i : i + 2048]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(part):
+                others += part
+                continue
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
+        for i in range(0, len(others), 256):
+            part = others[i : i + 256]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
                 self[w] = np.array(e.ids, "<u4").tobytes()
         for w, (b, stop) in bare.items():
             self[w] = self[b] + self[stop] if stop else self[b]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.split() if t.isascii() else _split(t) for t in texts]
-        self.learn([w for w in set().union(*split) if w not in self])
-        for words in split:
-            yield b"".join(map(self.__getitem__, words))
-
-
-def _split(text: str) -> list[str]:
-    """On ASCII white space only; what else counts as white space is left to the tokenizer."""
-    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+        if len(self) > self.limit:
+            self.clear()
+        split = [t.encode("utf-8", "replace").split() for t in texts]
+        found = [[*map(self.get, words)] for words in split]
+        self.learn({w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None})
+        for words, ids in zip(split, found):
+            yield b"".join(ids if None not in ids else map(self.__getitem__, words))
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None) -> DataFrame:
@@ -86,7 +102,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokeni
             at, step = 0, 0
             while at < len(texts):
                 step, size = at, 0
-                while step < len(texts) and (size == 0 or size + len(texts[step]) < 4_000_000):
+                while step < len(texts) and (size == 0 or size + len(texts[step]) < 1_000_000):
                     size += len(texts[step]) + 1
                     step += 1
                 for doc_id, ids in zip(b.doc_id[at:step], known.encode(texts[at:step])):
