@@ -9,8 +9,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +98,13 @@ def shingle_set(text: str | None, hashes: WordHashes, width: int = 5) -> np.ndar
     for i in range(w):
         total = total * np.uint64(0x9E3779B97F4A7C15) + h[i : n - w + 1 + i]
     return np.unique(mix(total))
+
+
+def slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about ``most`` bytes; a longer text is a run of its own."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, texts[at:end]
+        at = end

@@ -12,16 +12,18 @@ repeated rows get equal results; an empty table gives no rows; extra columns are
 from __future__ import annotations
 
 import re
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import bucket
+from pagelake.llm.common import bucket, slices
 
 PER_LANGUAGE = 300
 WORDS = 120
@@ -168,16 +170,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS) -
 class WordSums(dict):
     """word -> its row of a growing table of summed log probabilities."""
 
-    def __init__(self, model: GruModel, limit: int = 600_000):
+    def __init__(self, model: GruModel, limit: int = 1_000_000):
         super().__init__()
         self.model, self.limit = model, limit
         self.sums, self.used = np.zeros((1024, len(model.languages)), np.float32), 0
 
     def learn(self, words: list[bytes]) -> None:
-        if not words:
-            return
-        if self.used + len(words) > self.limit:
-            raise OverflowError
         # long runs are read in pieces
         parts = [pieces(w) for w in words]
         flat = self.model.word_sums([x for ps in parts for x in ps])
@@ -185,53 +183,59 @@ class WordSums(dict):
         while len(self.sums) < self.used + len(words):
             self.sums = np.vstack([self.sums, np.zeros_like(self.sums)])
         self.sums[self.used : self.used + len(words)] = np.add.reduceat(flat, starts, axis=0)
-        for i, w in enumerate(words):
-            self[w] = self.used + i
+        self.update(zip(words, range(self.used, self.used + len(words))))
         self.used += len(words)
 
-
-_SEEN: dict[int, WordSums] = {}  # of this Python worker, for its next task with the same model
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Summed log probabilities and the number of positions of each text."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        distinct, place = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+        if self.used + len(distinct) > self.limit:
+            self.clear()
+            self.used = 0
+        new = [w for w in distinct if w and w not in self]
+        if new:
+            self.learn(new)
+        zero = not distinct or b"" in distinct
+        rows = np.array([self[w] if w else -1 for w in distinct], np.int64)
+        table = np.where((rows >= 0)[:, None], self.sums[rows], 0) if zero else self.sums[rows]
+        size = np.array([len(w) for w in distinct], np.int64)
+        bounds = lists.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        out, n = np.zeros((len(texts), self.sums.shape[1])), np.zeros(len(texts), np.int64)
+        full = np.flatnonzero(np.diff(bounds))
+        if len(full):
+            out[full] = np.add.reduceat(table[place].astype(np.float64), bounds[full], axis=0)
+            n[full] = np.add.reduceat(size[place], bounds[full])
+        return out, n
+
+
+_SEEN: dict[str, WordSums] = {}  # of this Python worker, for its next task with the same model
 
 
 def identify(docs: DataFrame, model: GruModel | None) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    stamp = id(shared)
+    stamp = uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        if m and stamp not in _SEEN:
+            _SEEN.clear()
+            _SEEN[stamp] = WordSums(m)
         for b in batches:
-            pred, score = [UNKNOWN] * len(b), np.zeros(len(b))
-            texts = list(b.text)
-            at = 0
-            while m and at < len(texts):
-                known = _SEEN.get(stamp)
-                if known is None or known.used > known.limit // 2:
-                    _SEEN.clear()
-                    known = _SEEN[stamp] = WordSums(m)
-                end, size, split = at, 0, []
-                while end < len(texts) and (size == 0 or size < 3_000_000):
-                    t = texts[end]
-                    ok = isinstance(t, str) and _LETTER.search(t)
-                    split.append(t.encode("utf-8", "surrogatepass").split() if ok else [])
-                    size += len(t) if ok else 0
-                    end += 1
-                new = [w for w in set().union(*split) if w not in known]
-                if known.used + len(new) > known.limit:  # a batch of more distinct words than are remembered
-                    known = WordSums(m, limit=len(set().union(*split)))
-                    new = list(set().union(*split))
-                known.learn(new)
-                for i, words in enumerate(split, at):
-                    if words:
-                        seen = Counter(words)
-                        rows = np.fromiter(map(known.__getitem__, seen), np.int64, len(seen))
-                        total = np.fromiter(seen.values(), np.float32, len(seen)) @ known.sums[rows]
-                        total = total / max(1.0, sum(map(len, words)) ** 0.5)
-                        e = np.exp(total - total.max())
-                        k = int(total.argmax())
-                        pred[i], score[i] = m.languages[k], float(e[k] / e.sum())
-                at = end
-            yield pd.DataFrame({"doc_id": b.doc_id, "lang_pred": pred, "score": score})
+            for at, texts in slices(pc.fill_null(b.column("text"), "")):
+                pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                if m:
+                    total, n = _SEEN[stamp].texts(texts)
+                    total /= np.sqrt(np.maximum(n, 1))[:, None]
+                    e = np.exp(total - total.max(1, keepdims=True))
+                    best, top = total.argmax(1).tolist(), (e.max(1) / e.sum(1)).tolist()
+                    for i, t in enumerate(texts.to_pylist()):
+                        if _LETTER.search(t):
+                            pred[i], score[i] = m.languages[best[i]], top[i]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

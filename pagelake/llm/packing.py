@@ -17,10 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import materialize
+from pagelake.llm.common import materialize, slices
 
 CAPACITY = 4096
 END = 1
@@ -51,23 +53,24 @@ class WordTokens(dict):
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         # the tokenizer lower-cases and parts letters from a stop or comma, so such words share their bare word's ids
-        bare = {}
+        plain, others, bare = {b".": 0, b",": 0}, [], []
         for w in words:
-            if w.isalpha():
-                bare[w] = w.lower(), b""
-            elif w[-1:] in (b".", b",") and w[:-1].isalpha():
-                bare[w] = w[:-1].lower(), w[-1:]
+            stop = w[-1:] if w[-1:] in (b".", b",") else b""
+            b = (w[:-1] if stop else w).lower()
+            if b.isalpha() or b.decode("utf-8", "replace").isalpha():
+                plain[b] = 0
+                if b != w:
+                    bare.append((w, b, stop))
             else:
-                bare[w] = w, b""
-        new = [x for x in {b".": 0, b",": 0} | {b: 0 for b, _ in bare.values()} if x not in self]
-        plain, others = [x for x in new if x.isalpha() and x.isascii()], [x for x in new if not (x.isalpha() and x.isascii())]
-        for i in range(0, len(plain), 2048):  # letters only: one call for many words, parted at the ids that end a word
-            part = plain[i : i + 2048]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+                others.append(w)
+        new = [x for x in plain if x not in self]
+        for i in range(0, len(new), 2048):  # letters only: one call for many words, parted at the ids that end a word
+            part = new[i : i + 2048]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
-            if len(ends) != len(part):
+            if len(ends) != len(part) or b"." in part or b"," in part:
                 others += part
                 continue
             raw, ends = ids.tobytes(), ends.tolist()
@@ -76,17 +79,27 @@ class WordTokens(dict):
             part = others[i : i + 256]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
                 self[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (b, stop) in bare.items():
+        for w, b, stop in bare:
             self[w] = self[b] + self[stop] if stop else self[b]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (and the last one's end)."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        distinct, place = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
         if len(self) > self.limit:
             self.clear()
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        found = [[*map(self.get, words)] for words in split]
-        self.learn({w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None})
-        for words, ids in zip(split, found):
-            yield b"".join(ids if None not in ids else map(self.__getitem__, words))
+        found = [*map(self.get, distinct)]
+        if None in found:
+            self.learn([w for w, x in zip(distinct, found) if x is None])
+            found = [*map(self.__getitem__, distinct)]
+        flat, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        n = size[place]
+        after = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(first[place] - after[:-1], n) + np.arange(after[-1])]
+        offsets = lists.offsets.to_numpy()
+        return ids, after[offsets - offsets[0]]
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None) -> DataFrame:
@@ -94,30 +107,25 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokeni
     path = tokenizer or default_tokenizer()
     tail = np.array([end], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _KNOWN.get(path) or _KNOWN.setdefault(path, WordTokens(path))
         for b in batches:
-            rows: list[tuple] = []
-            texts = [t if isinstance(t, str) else "" for t in b.text]
-            at, step = 0, 0
-            while at < len(texts):
-                step, size = at, 0
-                while step < len(texts) and (size == 0 or size + len(texts[step]) < 1_000_000):
-                    size += len(texts[step]) + 1
-                    step += 1
-                for doc_id, ids in zip(b.doc_id[at:step], known.encode(texts[at:step])):
-                    ids += tail
-                    for k in range(0, len(ids), 4 * capacity):
-                        part = ids[k : k + 4 * capacity]
-                        rows.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
-                at = step
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            if len(out):
-                out["doc_id"] = out.doc_id.astype(b.doc_id.dtype)
-            yield out
+            for at, texts in slices(pc.fill_null(b.column("text"), "")):
+                ids, bounds = known.encode(texts)
+                rows: list[tuple] = []
+                for i, (a, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), at):
+                    raw = ids[a:e].tobytes() + tail
+                    for k in range(0, len(raw), 4 * capacity):
+                        part = raw[k : k + 4 * capacity]
+                        rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
+                doc, piece, start, length, crc = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES.format(kind))
+    return docs.select("doc_id", "text").mapInArrow(run, PIECES.format(kind))
 
 
 def fill_bin(counts: dict[int, int], lengths: list[int], capacity: int) -> list[tuple[int, int]]:
