@@ -1,14 +1,16 @@
 """Near-duplicates by b-bit MinHash.
 
-1. Each text's set of five-word shingles gives 128 minima. Bands of four minima are the candidate keys; of every minimum
-   the low four bits are kept, packed into eight 64-bit words.
+1. Each text's set of five-word shingles gives 256 minima. Bands of four of the first 128 are the candidate keys; of every
+   minimum the low four bits are kept, packed into sixteen 64-bit words.
 2. Texts with equal sets form a class, which its least doc_id stands for.
 3. In every band bucket each class is paired with the bucket's least one: a star, never all pairs. The packed bits give
    a collision-corrected estimate by bit counts, which discards pairs far below the threshold; the rest are confirmed
    on the full sets. Links are joined into components.
-4. Buckets that still hold several components are taken again: members outside a bucket's largest component are paired
-   with the others, unless that is too many, when the star is laid from another member first. This repeats until every
-   pair of one bucket either lies inside one component or has been compared, so no link between texts of a bucket is lost.
+4. Buckets that still hold several components are taken again. Shingles that a single open text has are in no intersection,
+   which bounds every similarity from above and sets aside the members that cannot have a link. Members outside a bucket's
+   largest component are compared with the others, unless those are too many pairs, when a star is laid from another
+   member first. This repeats until every pair of a bucket lies inside one component, is ruled out by the bound or the
+   estimate, or has been compared, so no link between texts of a bucket is lost.
 
 Cases: null text and text without words has the empty set and is linked with nothing; rows that share an id are one
 node; a row with a null id takes part by its text, and is kept only if its component names no id; a table without rows
@@ -32,10 +34,11 @@ from pagelake.llm.fingerprints import minima, word_hashes
 WIDTH = 5
 PERCENT = 75
 BANDS, ROWS, BITS = 32, 4, 4
-#: Estimates have a standard deviation of 0.04 here; five of them below the threshold are kept for the exact comparison.
-SLACK = 0.2
+MINIMA = 256
+#: Estimates have a standard deviation of 0.028 here; five of them below the threshold are kept for the exact comparison.
+SLACK = 0.14
 #: A bucket's open pairs are listed if there are at most so many a member, or after so many stars.
-PAIRS_A_MEMBER, STARS = 8, 6
+PAIRS_A_MEMBER, STARS = 8, 3
 NAMELESS = 1 << 62
 
 
@@ -60,8 +63,8 @@ def prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for doc_id, nid, text in zip(b.doc_id, b.nid, b.text):
                 s = shingle_set(text if isinstance(text, str) else None, hashes, width)
                 if len(s):
-                    m = minima(s, BANDS * ROWS)
-                    out.append((doc_id, nid, len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(m), pack_bits(m).tolist()))
+                    m = minima(s, MINIMA)
+                    out.append((doc_id, nid, len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(m[: BANDS * ROWS]), pack_bits(m).tolist()))
                 else:
                     out.append((doc_id, nid, 0, b"", [], []))
             yield pd.DataFrame(out, columns=["doc_id", "nid", "n_shingles", "digest", "bands", "bits"]).astype({"doc_id": "Int64", "nid": "int64", "n_shingles": "int64"})
@@ -74,7 +77,7 @@ def estimate(a: str, b: str) -> str:
     ones = "1229782938247303441"  # 0x1111...
     differ = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(((x ^ y) | shiftrightunsigned(x ^ y, 1) | shiftrightunsigned(x ^ y, 2) | shiftrightunsigned(x ^ y, 3)) & {ones}L)), 0, (s, x) -> s + x)"
     chance = 1 / (1 << BITS)
-    return f"((1.0D - {differ} / {BANDS * ROWS}.0D) - {chance}D) / {1 - chance}D"
+    return f"((1.0D - {differ} / {MINIMA}.0D) - {chance}D) / {1 - chance}D"
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -101,6 +104,25 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int
     return both.mapInPandas(run, "a long, b long").distinct()
 
 
+def _measured(nodes: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """mn, n, shared, bits, marks of the nodes: the size of the set and how many of its shingles any other of these nodes
+    has. A shingle of one node only is in no intersection, so ``shared`` bounds every intersection from above."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = word_hashes()
+        for b in batches:
+            for at in range(0, len(b), 200):
+                part = b.iloc[at : at + 200]
+                sets = [shingle_set(t, hashes, width).view(np.int64) for t in part.text]
+                yield pd.DataFrame({"node": np.repeat(part.node.to_numpy(), [len(s) for s in sets]), "shingle": np.concatenate(sets)})
+
+    some = texts.join(nodes.select(F.col("node").alias("wn")), F.col("node") == F.col("wn"), "left_semi")
+    rows = some.mapInPandas(run, "node long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low = high").groupBy("low").agg(F.count("*").alias("alone"))
+    sizes = classes.join(nodes.select(F.col("node").alias("wn")), F.col("node") == F.col("wn"), "left_semi").select(F.col("node").alias("mn"), "n", "bits", F.transform("bands", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("marks"))
+    return sizes.join(alone, F.col("mn") == F.col("low"), "left").select("mn", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "bits", "marks")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     doc_id = F.col("doc_id").cast("long")
@@ -108,11 +130,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     docs = docs.select(doc_id.alias("doc_id"), "text", F.coalesce(doc_id, NAMELESS + F.abs(F.xxhash64("text") / 4).cast("long")).alias("nid"))
     own = materialize(prints(docs, width), "near-prints")
     full = own.filter("n_shingles > 0")
-    classes = full.groupBy("digest").agg(F.min("nid").alias("node"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
-    classes = materialize(classes.select("node", "digest", "bands", "bits"), "near-classes")
-    members = classes.select("node", F.explode("bands").alias("band"))
+    classes = full.groupBy("digest").agg(F.min("nid").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
+    classes = materialize(classes.select("node", "digest", "n", "bands", "bits"), "near-classes")
+    members = classes.select("node", F.posexplode("bands").alias("place", "band")).withColumn("place", F.col("place") + 1)
     shared = materialize(members.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "near-buckets")
-    member = materialize(members.join(shared.select(F.col("band").alias("of"), "lead"), F.col("band") == F.col("of")).select("band", "node", "lead"), "near-members")
+    member = materialize(members.join(shared.select(F.col("band").alias("of"), "lead"), F.col("band") == F.col("of")).select("band", "place", "node", "lead"), "near-members")
     bits = classes.select("node", "bits")
     wanted = member.select("node").distinct()
     texts = docs.filter("text is not null").join(wanted, F.col("nid") == F.col("node")).select("node", "text")
@@ -130,31 +152,43 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     links = compared(member.select(F.col("lead").alias("a"), F.col("node").alias("b")))
     labels = connected(links)
-    done = None
+    measured, done = None, None
     for star in range(1, STARS + 2):
-        named = member.select("band", "node").join(labels.select(F.col("node").alias("ln"), "component"), F.col("node") == F.col("ln"), "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        per = named.groupBy("band", "component").agg(F.count("*").alias("n"), F.min("node").alias("least_node"))
-        buckets = per.groupBy("band").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", F.col("component"))).alias("top"), F.count("*").alias("parts"), F.max_by("least_node", F.xxhash64("component", F.lit(star))).alias("other"))
-        buckets = buckets.filter("parts > 1").select(F.col("band").alias("of"), F.col("top.component").alias("main"), "other", ((F.col("m") * F.col("m") - F.col("squares")) / 2 <= PAIRS_A_MEMBER * F.col("m")).alias("few"))
+        named = member.select("band", "place", "node").join(labels.select(F.col("node").alias("ln"), "component"), F.col("node") == F.col("ln"), "left").select("band", "place", "node", F.coalesce("component", "node").alias("component"))
         if done is not None:
-            buckets = buckets.join(done, F.col("of") == F.col("done"), "left_anti")
-        buckets = materialize(buckets.withColumn("few", F.col("few") | F.lit(star > STARS)), "near-open")
-        if buckets.isEmpty():
+            named = named.join(done, F.col("band") == F.col("done"), "left_anti")
+        several = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select(F.col("band").alias("sb"))
+        named = materialize(named.join(several, F.col("band") == F.col("sb"), "left_semi"), "near-open")
+        if named.isEmpty():
             break
-        open_ = named.join(buckets, F.col("band") == F.col("of")).select("band", "node", "component", "main", "few", "other")
-        open_ = materialize(open_, "near-open-members")
-        outside = open_.filter("few and component <> main").select(F.col("band").alias("ob"), F.col("node").alias("a"), F.col("component").alias("ca"))
-        listed = outside.join(open_.filter("few"), (F.col("ob") == F.col("band")) & (F.col("ca") != F.col("component"))).select("a", F.col("node").alias("b"))
+        if measured is None:  # what is open only shrinks from here on
+            measured = materialize(_measured(named.select("node").distinct(), texts, classes, width), "near-measured")
+        rich = named.join(measured, F.col("node") == F.col("mn"))
+        least = rich.groupBy("band").agg(F.min("n").alias("least_n")).select(F.col("band").alias("lb"), "least_n")
+        # a member whose shared shingles cannot reach the threshold with even the bucket's smallest set has no link there
+        able = rich.join(least, F.col("band") == F.col("lb")).filter(f"100 * shared >= {percent} * (n + greatest(least_n, shared) - shared)")
+        able = materialize(able.select("band", "place", "node", "component", "n", "shared", "bits", "marks"), "near-able")
+        per = able.groupBy("band", "component").agg(F.count("*").alias("k"), F.min("node").alias("least_node"))
+        buckets = per.groupBy("band").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"), F.max_by("least_node", F.xxhash64("component", F.lit(star))).alias("other"))
+        few = ((F.col("m") * F.col("m") - F.col("squares")) / 2 <= PAIRS_A_MEMBER * F.col("m")) | F.lit(star > STARS)
+        buckets = materialize(buckets.filter("parts > 1").select(F.col("band").alias("of"), F.col("top.component").alias("main"), "other", few.alias("few")), "near-buckets")
+        open_ = able.join(buckets, F.col("band") == F.col("of"))
+        outside = open_.filter("few and component <> main").select(*[F.col(c).alias("o_" + c) for c in ("band", "place", "node", "component", "n", "shared", "bits", "marks")])
+        # each pair is compared at its first common band; the cheap exact bound comes first
+        both = outside.join(open_.filter("few"), F.expr(
+            "o_band = band and o_component <> component and (o_component < component or component = main) "
+            f"and 100 * least(o_shared, shared) >= {percent} * (o_n + n - least(o_shared, shared)) "
+            "and array_position(zip_with(o_marks, marks, (x, y) -> x = y), true) = place "
+            f"and {estimate('o_bits', 'bits')} >= {percent / 100 - SLACK}"
+        ))
+        listed = both.select(F.col("o_node").alias("a"), F.col("node").alias("b"))
         stars = open_.filter("not few").select(F.col("other").alias("a"), F.col("node").alias("b"))
         more = compared(listed.unionByName(stars))
         now_done = buckets.filter("few").select(F.col("of").alias("done"))
         done = now_done if done is None else done.unionByName(now_done)
-        new = not more.isEmpty()
         links = links.unionByName(more)
-        if new:
+        if not more.isEmpty():
             labels = connected(links)
-        if star > STARS:
-            break
 
     of_class = classes.select("digest", F.col("node")).join(labels.select(F.col("node").alias("ln"), "component"), F.col("node") == F.col("ln"), "left").select(F.col("digest").alias("cd"), F.coalesce("component", "node").alias("component"))
     of_class = materialize(of_class, "near-components")
