@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import discard, materialize, mix
+from pagelake.llm.common import discard, materialize, mix, slices
 
 LENGTH = 400
 ANCHOR = 200
@@ -196,30 +197,36 @@ def intervals(windows: np.ndarray) -> tuple[list[int], list[int]]:
     return windows[np.concatenate([[0], cut + 1])].tolist(), (windows[np.append(cut, len(windows) - 1)] + LENGTH).tolist()
 
 
-def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        parts = []
-        for th, text in zip(b.th, b.text):
-            key, first, count, weight = runs_of_keys(text.encode("utf-8", "surrogatepass"))
-            if len(key):
-                parts.append(pd.DataFrame({"key": key, "th": [th] * len(key), "first": first.astype(np.int32), "windows": count.astype(np.int32), "weight": weight.astype(np.int32)}))
-        if parts:
-            yield pd.concat(parts)
+        th = b.column("th")
+        for at, texts in slices(b.column("text")):
+            found = [runs_of_keys(t) for t in texts.cast(pa.binary()).to_pylist()]
+            which = np.repeat(np.arange(at, at + len(found)), [len(f[0]) for f in found])
+            key, first, count, weight = (np.concatenate([f[i] for f in found]) for i in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(key), th.take(pa.array(which)), *(pa.array(x.astype(np.int32)) for x in (first, count, weight))], ["key", "th", "first", "windows", "weight"])
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["key", "ch", "th", "first", "copies", "bytes"]
     for b in batches:
-        for th, text, copies, runs in zip(b.th, b.text, b.copies, b.runs):
-            data = text.encode("utf-8", "surrogatepass")
-            rows = []
-            for r in runs:
-                c = data[r["first"] : r["first"] + r["windows"] + LENGTH - 1]
-                rows.append((r["key"], xxhash.xxh3_128_digest(c), th, r["first"], copies, c))
-            yield pd.DataFrame(rows, columns=["key", "ch", "th", "first", "copies", "bytes"])
-
-
-def _merge_tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        th, copies, runs = b.column("th"), b.column("copies"), [b.column(c) for c in ("keys", "firsts", "counts")]
+        for at, texts in slices(b.column("text"), 2_000_000):
+            which, key, first, data = [], [], [], []
+            for i, text in enumerate(texts.cast(pa.binary()).to_pylist(), at):
+                k, f, n = (c[i].values.to_numpy() for c in runs)
+                which += [i] * len(k)
+                key.append(k), first.append(f)
+                data += [text[a : a + m + LENGTH - 1] for a, m in zip(f.tolist(), n.tolist())]
+            which = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(key)), pa.array([xxhash.xxh3_128_digest(x) for x in data], pa.binary()), th.take(which), pa.array(np.concatenate(first)), copies.take(which), pa.array(data, pa.binary())], names
+            )
+
+
+def _merge_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; a key's contexts are never parted."""
+    ints = pa.list_(pa.int32())
 
     def settle(rows):
         found = repeated_windows([r[3] for r in rows]) if rows else []
@@ -228,11 +235,12 @@ def _merge_tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, e = ([0], [len(data)]) if n > 1 else intervals(windows)
             if a:
                 out.append((key, ch, a, e))
-        return pd.DataFrame(out, columns=["key", "ch", "a", "e"])
+        cols = list(zip(*out)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), ints, ints))], ["key", "ch", "a", "e"])
 
     held, size, last = [], 0, None
     for b in batches:
-        for row in zip(b.key, b.ch, b.n, b.bytes):
+        for row in zip(*(b.column(c).to_pylist() for c in ("key", "ch", "n", "bytes"))):
             if size >= TASK and row[0] != last:
                 yield settle(held)
                 held, size = [], 0
@@ -249,39 +257,39 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": key, "ch": [ch] * k, "n": n, "at": np.arange(k, dtype=np.int32), "wh": [xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(k)]})
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for th, text, spans in zip(b.th, b.text, b.spans):
-            data = text.encode("utf-8", "surrogatepass")
-            kept, at, removed, n = hashlib.sha256(), 0, 0, 0
-            stop = -1
-            for a, e in sorted((s["a"], s["e"]) for s in spans):
-                if a > stop:  # spans that touch are one
-                    n += 1
-                    kept.update(data[max(at, 0) : a])
-                    stop = e
-                    removed += e - a
-                elif e > stop:
-                    removed += e - stop
-                    stop = e
-                at = stop
-            kept.update(data[at:])
-            out.append((th, removed, n, kept.hexdigest()))
-        yield pd.DataFrame(out, columns=["th", "n_removed", "n_spans", "kept"]).astype({"n_removed": "int64", "n_spans": "int64"})
+        firsts, ends = b.column("a"), b.column("e")
+        for at, texts in slices(b.column("text")):
+            out = []
+            for i, data in enumerate(texts.cast(pa.binary()).to_pylist(), at):
+                kept, removed, n, stop = hashlib.sha256(), 0, 0, -1
+                for a, e in sorted(zip(firsts[i].as_py(), ends[i].as_py())):
+                    if a > stop:  # spans that touch are one
+                        n += 1
+                        kept.update(data[max(stop, 0) : a])
+                        removed += e - a
+                    else:
+                        removed += max(0, e - stop)
+                    stop = max(stop, e)
+                kept.update(data[max(stop, 0) :])
+                out.append((removed, n, kept.hexdigest()))
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([b.column("th").slice(at, len(out)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["th", "n_removed", "n_spans", "kept"])
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts with a possible repeat (th, text, copies, runs), and the spans to remove of each th."""
+    """Texts with a possible repeat (th, text, copies and their runs), and the spans to remove of each th."""
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.unhex(F.md5("text")))
     long = rows.filter(F.octet_length("text") >= LENGTH)
-    runs = materialize(long.mapInPandas(_anchors, "key long, th binary, first int, windows int, weight int"), "repeat-runs")
+    runs = materialize(long.mapInArrow(_anchors, "key long, th binary, first int, windows int, weight int"), "repeat-runs")
     keys = materialize(runs.groupBy("key").agg(F.sum("weight").alias("n")).filter("n > 1").select(F.col("key").alias("rk")), "repeat-keys")
     shared = runs.join(keys, F.col("key") == F.col("rk")).groupBy("th").agg(F.collect_set(F.struct("key", "first", "windows")).alias("runs"))
+    shared = shared.select(F.col("th").alias("sh"), F.col("runs.key").alias("keys"), F.col("runs.first").alias("firsts"), F.col("runs.windows").alias("counts"))
     classes = long.groupBy("th").agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
-    texts = materialize(classes.join(shared.select(F.col("th").alias("sh"), "runs"), F.col("th") == F.col("sh")).select("th", "text", "copies", "runs"), "repeat-texts")
+    texts = materialize(classes.join(shared, F.col("th") == F.col("sh")).select("th", "text", "copies", "keys", "firsts", "counts"), "repeat-texts")
     discard(runs, keys)
-    placed = materialize(texts.mapInPandas(_contexts, "key long, ch binary, th binary, first int, copies long, bytes binary"), "repeat-contexts")
+    placed = materialize(texts.mapInArrow(_contexts, "key long, ch binary, th binary, first int, copies long, bytes binary"), "repeat-contexts")
     distinct = placed.groupBy("key", "ch").agg(F.any_value("bytes").alias("bytes"), F.sum("copies").alias("n"))
     distinct = materialize(distinct, "repeat-distinct")
     # an exchange of its own for both sides: a key with many contexts can then be dealt over several tasks
@@ -290,7 +298,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lone = joined.filter("m = 1 and n > 1").select("key", "ch", F.array(F.lit(0)).alias("a"), F.array(F.octet_length("bytes").cast("int")).alias("e"))
     few = joined.filter(f"not (m = 1 and n > 1) and size <= {GROUP}").select("key", "ch", "n", "bytes")
     ways = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = few.repartition(ways, "key").sortWithinPartitions("key", "ch").mapInPandas(_merge_tasks, "key long, ch binary, a array<int>, e array<int>")
+    merged = few.repartition(ways, "key").sortWithinPartitions("key", "ch").mapInArrow(_merge_tasks, "key long, ch binary, a array<int>, e array<int>")
     results = lone.unionByName(merged)
     if not sizes.filter(f"m > 1 and size > {GROUP}").isEmpty():
         many = joined.filter(f"m > 1 and size > {GROUP}").select("key", "ch", "n", "bytes")
@@ -307,8 +315,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     texts, spans = repeated_spans(docs)
-    with_spans = texts.select("th", "text").join(spans.select(F.col("th").alias("sh"), "spans"), F.col("th") == F.col("sh")).select("th", "text", "spans")
-    changed = materialize(with_spans.mapInPandas(_cut, "th binary, n_removed long, n_spans long, kept string"), "repeat-changed").withColumnRenamed("th", "ct")
+    with_spans = texts.select("th", "text").join(spans.select(F.col("th").alias("sh"), "spans"), F.col("th") == F.col("sh")).select("th", "text", F.col("spans.a").alias("a"), F.col("spans.e").alias("e"))
+    changed = materialize(with_spans.mapInArrow(_cut, "th binary, n_removed long, n_spans long, kept string"), "repeat-changed").withColumnRenamed("th", "ct")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), F.unhex(F.md5(text)).alias("th"))
     out = rows.join(changed, F.col("th") == F.col("ct"), "left")
