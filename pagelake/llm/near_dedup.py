@@ -40,6 +40,8 @@ SLACK = 0.14
 #: A bucket's open pairs are listed if there are at most so many a member, or after so many stars.
 PAIRS_A_MEMBER, STARS = 8, 3
 NAMELESS = 1 << 62
+PARTS = 32
+INSIDE = "aggregate(zip_with(o_parts, parts, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
 
 
 def pack_bits(m: np.ndarray) -> np.ndarray:
@@ -105,8 +107,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int
 
 
 def _measured(nodes: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """mn, n, shared, bits, marks of the nodes: the size of the set and how many of its shingles any other of these nodes
-    has. A shingle of one node only is in no intersection, so ``shared`` bounds every intersection from above."""
+    """mn, n, shared, parts, bits, marks of the nodes: the size of the set and how many of its shingles any other of these
+    nodes has, in all and in each of ``PARTS`` parts of the hash space. A shingle of one node only is in no intersection, so
+    the lesser count of two sets, part by part, bounds their intersection from above."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = word_hashes()
@@ -116,11 +119,22 @@ def _measured(nodes: DataFrame, texts: DataFrame, classes: DataFrame, width: int
                 sets = [shingle_set(t, hashes, width).view(np.int64) for t in part.text]
                 yield pd.DataFrame({"node": np.repeat(part.node.to_numpy(), [len(s) for s in sets]), "shingle": np.concatenate(sets)})
 
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = word_hashes()
+        for b in batches:
+            parts = [np.bincount((shingle_set(t, hashes, width).view(np.int64) % PARTS), minlength=PARTS).tolist() for t in b.text]
+            yield pd.DataFrame({"pn": b.node, "sizes": parts})
+
     some = texts.join(nodes.select(F.col("node").alias("wn")), F.col("node") == F.col("wn"), "left_semi")
     rows = some.mapInPandas(run, "node long, shingle long")
-    alone = rows.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low = high").groupBy("low").agg(F.count("*").alias("alone"))
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low = high")
+    alone = alone.groupBy("low", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").alias("k"))
+    alone = alone.groupBy("low").agg(F.sum("k").alias("alone"), F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("of"))
     sizes = classes.join(nodes.select(F.col("node").alias("wn")), F.col("node") == F.col("wn"), "left_semi").select(F.col("node").alias("mn"), "n", "bits", F.transform("bands", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("marks"))
-    return sizes.join(alone, F.col("mn") == F.col("low"), "left").select("mn", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "bits", "marks")
+    whole = some.mapInPandas(split, "pn long, sizes array<long>").dropDuplicates(["pn"])
+    both = sizes.join(whole, F.col("mn") == F.col("pn")).join(alone, F.col("mn") == F.col("low"), "left")
+    parts = F.transform("sizes", lambda x, i: x - F.coalesce(F.try_element_at("of", i), F.lit(0)))
+    return both.select("mn", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), F.when(F.col("of").isNull(), F.col("sizes")).otherwise(parts).alias("parts"), "bits", "marks")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -145,7 +159,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         x, y = bits.select(F.col("node").alias("xa"), F.col("bits").alias("xb")), bits.select(F.col("node").alias("ya"), F.col("bits").alias("yb"))
         likely = pairs.join(y, F.col("b") == F.col("ya")).join(x, F.col("a") == F.col("xa")).filter(F.expr(estimate("xb", "yb")) >= percent / 100 - SLACK)
-        likely = materialize(likely.select("a", "b"), "near-likely")
+        return confirmed(likely.select("a", "b"))
+
+    def confirmed(likely: DataFrame) -> DataFrame:
+        likely = materialize(likely, "near-likely")
         found = materialize(confirm(likely, texts, width, percent), "near-links")
         discard(likely)
         return found
@@ -167,23 +184,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         least = rich.groupBy("band").agg(F.min("n").alias("least_n")).select(F.col("band").alias("lb"), "least_n")
         # a member whose shared shingles cannot reach the threshold with even the bucket's smallest set has no link there
         able = rich.join(least, F.col("band") == F.col("lb")).filter(f"100 * shared >= {percent} * (n + greatest(least_n, shared) - shared)")
-        able = materialize(able.select("band", "place", "node", "component", "n", "shared", "bits", "marks"), "near-able")
+        able = materialize(able.select("band", "place", "node", "component", "n", "shared", "parts", "bits", "marks"), "near-able")
         per = able.groupBy("band", "component").agg(F.count("*").alias("k"), F.min("node").alias("least_node"))
         buckets = per.groupBy("band").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"), F.max_by("least_node", F.xxhash64("component", F.lit(star))).alias("other"))
         few = ((F.col("m") * F.col("m") - F.col("squares")) / 2 <= PAIRS_A_MEMBER * F.col("m")) | F.lit(star > STARS)
         buckets = materialize(buckets.filter("parts > 1").select(F.col("band").alias("of"), F.col("top.component").alias("main"), "other", few.alias("few")), "near-buckets")
         open_ = able.join(buckets, F.col("band") == F.col("of"))
-        outside = open_.filter("few and component <> main").select(*[F.col(c).alias("o_" + c) for c in ("band", "place", "node", "component", "n", "shared", "bits", "marks")])
+        outside = open_.filter("few and component <> main").select(*[F.col(c).alias("o_" + c) for c in ("band", "place", "node", "component", "n", "shared", "parts", "bits", "marks")])
         # each pair is compared at its first common band; the cheap exact bound comes first
         both = outside.join(open_.filter("few"), F.expr(
             "o_band = band and o_component <> component and (o_component < component or component = main) "
             f"and 100 * least(o_shared, shared) >= {percent} * (o_n + n - least(o_shared, shared)) "
+            f"and 100 * {INSIDE} >= {percent} * (o_n + n - {INSIDE}) "
             "and array_position(zip_with(o_marks, marks, (x, y) -> x = y), true) = place "
             f"and {estimate('o_bits', 'bits')} >= {percent / 100 - SLACK}"
         ))
-        listed = both.select(F.col("o_node").alias("a"), F.col("node").alias("b"))
+        listed = both.select(F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b"))
         stars = open_.filter("not few").select(F.col("other").alias("a"), F.col("node").alias("b"))
-        more = compared(listed.unionByName(stars))
+        more = confirmed(listed.distinct()).unionByName(compared(stars))
         now_done = buckets.filter("few").select(F.col("of").alias("done"))
         done = now_done if done is None else done.unionByName(now_done)
         links = links.unionByName(more)
