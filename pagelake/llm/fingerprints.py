@@ -59,12 +59,13 @@ def successors(docs: DataFrame) -> DataFrame:
     The ranges' bounds and first ids, a row a range, are all that reaches the driver."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = 4 * tasks  # several a task, so that tasks come out even
     shares = [i / ranges for i in range(1, ranges)] or [0.5]
     bounds = rows.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0]
     bounds = sorted(set(bounds or []))
     steps = F.array(*[F.lit(b) for b in bounds]) if bounds else F.expr("cast(array() as array<long>)")
-    # range 0 holds the null ids; a long list of bounds is searched by halves through its string form's place in the plan only once
+    # range 0 holds the null ids
     p = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(steps, lambda x: x < F.col("doc_id"))) + 1)
     dealt = rows.select(p.alias("p"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
     heads = dealt.groupBy("p").agg(F.max(F.struct("doc_id", "h")).alias("m")).select("p", "m.doc_id", "m.h").collect()
@@ -76,7 +77,7 @@ def successors(docs: DataFrame) -> DataFrame:
         F.array(F.struct(F.col("p").alias("p"), F.lit(0).alias("tail")), F.struct(F.col("tp").alias("p"), F.lit(1).alias("tail")))
     )
     spread = marked.select(F.explode(both).alias("at"), "doc_id", "text", "h").select("at.p", "at.tail", "doc_id", "text", "h")
-    return spread.repartition(ranges, "p").sortWithinPartitions("p", "tail", F.desc_nulls_last("doc_id"), F.desc("h"))
+    return spread.repartition(tasks, "p").sortWithinPartitions("p", "tail", F.desc_nulls_last("doc_id"), F.desc("h"))
 
 
 def fingerprint_with_edit(docs: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
