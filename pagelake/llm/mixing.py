@@ -1,9 +1,8 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-A source's target words come from its weight. The mix takes every document of the source once for
-each whole pass that the target holds; what remains of the budget is fitted over the histogram of exact
-document sizes: a proportional share of every size first, then a bounded knapsack for the rest. Which
-documents of a size are taken follows a seeded hash, so reruns agree.
+A source's target words come from its weight. Each document can be taken up to twice; the budget is fitted over the
+histogram of exact document sizes: a proportional share of every size first, then a bounded knapsack for the rest. The
+copies of a size go to all its documents alike, and what is left over to some by a seeded hash, so reruns agree.
 
 Cases: null text has size 0 and takes 0; a null source is a source of its own, last; repeated rows are
 separate documents; a source without words has target 0; an empty table gives no rows; extra columns
@@ -68,6 +67,10 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int =
             k = min(counts[i] - take[i], left // sizes[i])
             take[i] += k
             left -= k * sizes[i]
+    for i in order:  # a small rest gives the knapsack little choice: hand shares back while its window holds them
+        k = min(take[i], (window - left) // sizes[i]) if left <= window else 0
+        take[i] -= max(0, k)
+        left += max(0, k) * sizes[i]
     left = max(0, min(left, window))
     mask, reach, steps = (1 << (left + 1)) - 1, 1, []
     for i in order:
@@ -113,12 +116,12 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         target, total = plan_of[rows.skey.iloc[0]]
-        passes = min(int(target // total), most) if total else 0
         some = rows[rows["size"] > 0]
-        extra = fit_budget(some["size"].to_numpy(), some.n.to_numpy(), int(round(target - passes * total))) if len(some) and passes < most else np.zeros(len(some), np.int64)
-        more = pd.Series(0, index=rows.index, dtype="int64")
-        more.loc[some.index] = extra
-        return pd.DataFrame({"skey": rows.skey, "size": rows["size"], "k": more, "passes": passes, "target": target, "source_size": total})
+        n = some.n.to_numpy()
+        copies = fit_budget(some["size"].to_numpy(), most * n, int(round(target))) if len(some) else n
+        take = pd.DataFrame({"k": 0, "passes": 0}, index=rows.index, dtype="int64")
+        take.loc[some.index, "k"], take.loc[some.index, "passes"] = copies % n, copies // n
+        return pd.DataFrame({"skey": rows.skey, "size": rows["size"], "k": take.k, "passes": take.passes.astype("int32"), "target": target, "source_size": total})
 
     decided = (
         hist.groupBy("skey", "size").agg(F.sum("n").alias("n"))
