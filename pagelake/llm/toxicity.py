@@ -1,6 +1,7 @@
 """Toxicity: a convolutional text classifier trained in numpy, thresholds calibrated by language.
 
-Words are hashed; words of the training sample have an embedding, all others the zero vector. Filters of several widths
+Words are hashed; frequent words of the training sample have an embedding of their own, rarer ones share that of their
+beginning, and what the sample doesn't hold has the zero vector. Filters of several widths
 slide over the whole text, their rectified outputs are max-pooled and a logistic unit gives the logit. The language is
 guessed from the same word hashes (naive Bayes learnt on the training rows), and each guessed language has a calibrated
 threshold, to which the score 0.5 is set. The sample of labelled rows is bounded by ``sample``.
@@ -32,8 +33,15 @@ EPOCHS = 6
 _EDGES = b".,!?;:\"'()[]{}*|#$%&<>-_"
 
 
-def hashed(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word.strip(_EDGES)) & 0x7FFFFFFFFFFFFFFF
+#: Words of fewer training texts than this are known by their beginnings, of so many bytes, instead.
+OFTEN, SELDOM, PREFIXES = 5, 3, (7, 5)
+
+
+def hashed(word: bytes) -> list[int]:
+    """Hashes of the word and of its beginnings, longest first."""
+    bare = word.strip(_EDGES)
+    parts = [bare, *(bare[:n] for n in PREFIXES if len(bare) > n)]
+    return [xxhash.xxh3_64_intdigest(x, i and len(x)) & 0x7FFFFFFFFFFFFFFF for i, x in enumerate(parts)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -86,15 +94,15 @@ def joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[str], toxic: list[int], langs: list[str | None], epochs: int = EPOCHS, seed: int = 8) -> ToxicityModel:
     rng = np.random.default_rng(seed)
     y = np.array(toxic, float)
-    hashes = [np.fromiter(map(hashed, words_of(t)), np.int64) for t in texts]
-    often = Counter(h for r in hashes for h in set(r.tolist()))
-    keys = np.array(sorted(h for h, n in often.items() if n >= 3), np.int64)
-
-    def rows_of(r):
-        i = np.searchsorted(keys, r)
-        return np.where((i < len(keys)) & (keys[np.minimum(i, max(len(keys) - 1, 0))] == r), i + 1, 0) if len(keys) and len(r) else np.zeros(len(r), np.int64)
-
-    rows = [rows_of(r) for r in hashes]
+    split = [words_of(t) for t in texts]
+    whole, starts = Counter(), Counter()
+    for words in split:
+        chains = [hashed(w) for w in set(words)]
+        whole.update({c[0] for c in chains})
+        starts.update({h for c in chains for h in c[1:]})
+    keys = np.array(sorted({h for h, n in whole.items() if n >= OFTEN} | {h for h, n in starts.items() if n >= SELDOM}), np.int64)
+    known = KnownRows(keys)
+    rows = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in split]
     n = len(keys) + 1
     # languages: naive Bayes of words
     names = sorted({x for x in langs if x is not None}) or [""]
@@ -121,8 +129,10 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None], epochs: i
     base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     model = ToxicityModel(keys, vectors, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(len(WIDTHS) * FILTERS), base, logs.astype(np.float32), prior, np.zeros(len(names)))
     if len(y) and 0 < y.sum() < len(y):
-        _descend(model, rows, y, epochs, rng)
-        _calibrate(model, rows, y)
+        tune = np.arange(len(rows)) % 4 == 0  # thresholds come from texts that the weights haven't seen
+        part = lambda keep: [r for r, k in zip(rows, keep) if k]
+        _descend(model, part(~tune), y[~tune], epochs, rng)
+        _calibrate(model, part(tune), y[tune])
     return model
 
 
@@ -212,7 +222,7 @@ class KnownRows(dict):
         self.known, self.limit = {int(k): i + 1 for i, k in enumerate(keys)}, limit
 
     def __missing__(self, word: bytes) -> int:
-        value = self.known.get(hashed(word), 0)
+        value = next((self.known[h] for h in hashed(word) if h in self.known), 0)
         if len(self) < self.limit and len(word) < 64:
             self[word] = value
         return value
