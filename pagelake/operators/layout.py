@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 PAGE = ["document_id", "page_number"]
+# Shares and heights of the banded order.
+ROW_SHARE, TALL, CUT_GAP, COLUMN_SHARE = 0.5, 3.0, 0.4, 0.7
 
 
 def _gaps(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -36,30 +38,57 @@ def cut_order(boxes: list[tuple]) -> list[int]:
     return walk(list(range(len(boxes))))
 
 
-def banded_order(boxes: list[tuple], column_share: float = 0.7) -> list[int]:
-    """Bands from top to bottom first; inside a band columns only if each spans most of the band's height, else row by row."""
+def page_rows(boxes: list[tuple], ids: list[int], height: float, tall: bool = True) -> list[list[int]]:
+    """Rows by seed: the topmost box left takes all boxes that share half of the smaller height with it; with ``tall``, boxes above
+    three median heights stay alone. Rows from the top, boxes in them from the left."""
+
+    def joins(a, b):
+        high = (a[3] - a[1], b[3] - b[1])
+        if tall and height and max(high) > TALL * height:
+            return False
+        smaller = min(high)
+        return smaller > 0 and (min(a[3], b[3]) - max(a[1], b[1])) / smaller >= ROW_SHARE
+
+    left, rows = sorted(ids, key=lambda i: (boxes[i][1], i)), []
+    while left:
+        seed = left[0]
+        row = [i for i in left if i == seed or joins(boxes[seed], boxes[i])]
+        left = [i for i in left if i not in set(row)]
+        rows.append(sorted(row, key=lambda i: boxes[i][0]))
+    return sorted(rows, key=lambda r: min(boxes[i][1] for i in r))
 
-    def groups(ids, low, high):
-        out, end = [], None
-        for i in sorted(ids, key=lambda i: (boxes[i][low], i)):
-            if end is None or boxes[i][low] >= end:
-                out.append([])
-            out[-1].append(i)
-            end = boxes[i][high] if end is None else max(end, boxes[i][high])
-        return out
+
+def bands(boxes: list[tuple], ids: list[int], axis: int, gap: float, reach: float | None = None) -> list[list[int]]:
+    """Groups along an axis (0: x, 1: y) parted where a box starts ``gap`` or more after all before it end; a box longer than
+    ``reach`` only counts that far."""
+    out, end = [], None
+    for i in sorted(ids, key=lambda i: (boxes[i][axis], i)):
+        low, high = boxes[i][axis], boxes[i][axis + 2]
+        if end is None or low - end >= gap:
+            out.append([])
+        out[-1].append(i)
+        high = low + reach if reach and high - low > reach else high
+        end = high if end is None else max(end, high)
+    return out
+
+
+def banded_order(boxes: list[tuple]) -> list[int]:
+    """Bands from top to bottom first; inside a band columns only if each spans most of the band's height, else row by row. Gaps count
+    from 0.4 median heights on."""
+    height = median(b[3] - b[1] for b in boxes) if boxes else 0
 
     def walk(ids):
         if len(ids) < 2:
             return ids
-        bands = groups(ids, 1, 3)
-        if len(bands) > 1:
-            return [x for b in bands for x in walk(b)]
-        columns = groups(ids, 0, 2)
-        top, bottom = min(boxes[i][1] for i in ids), max(boxes[i][3] for i in ids)
+        across = bands(boxes, ids, 1, CUT_GAP * height, TALL * height)
+        if len(across) > 1:
+            return [x for b in across for x in walk(b)]
+        columns = bands(boxes, ids, 0, CUT_GAP * height)
+        whole = max(boxes[i][3] for i in ids) - min(boxes[i][1] for i in ids)
         spans = [max(boxes[i][3] for i in c) - min(boxes[i][1] for i in c) for c in columns]
-        if len(columns) > 1 and all(s >= column_share * (bottom - top) for s in spans):
+        if len(columns) > 1 and whole > 0 and all(s / whole >= COLUMN_SHARE for s in spans):
             return [x for c in columns for x in walk(c)]
-        return sorted(ids, key=lambda i: (boxes[i][1], boxes[i][0], i))
+        return [i for row in page_rows(boxes, ids, height, tall=False) for i in row]
 
     return walk(list(range(len(boxes))))
 
@@ -73,7 +102,7 @@ def text_lines(boxes: list[tuple]) -> list[int]:
     centre = lambda i: (boxes[i][1] + boxes[i][3]) / 2
     lines: list[list[int]] = []
     for i in sorted(range(len(boxes)), key=lambda i: (centre(i), boxes[i][0], i)):
-        if lines and abs(centre(i) - sum(map(centre, lines[-1])) / len(lines[-1])) <= height / 2:
+        if lines and abs(centre(i) - sum(map(centre, lines[-1])) / len(lines[-1])) < height / 2:
             lines[-1].append(i)
         else:
             lines.append([i])
@@ -108,6 +137,76 @@ def suppressed(boxes: list[tuple], scores: list[float], most: float = 0.5) -> li
     return drop
 
 
+def spanning(boxes: list[tuple]) -> list[bool]:
+    """Boxes over two or more others, each below 0.6 of its area and overlapped by 0.8 of the smaller: one control around several."""
+    size = [(b[2] - b[0]) * (b[3] - b[1]) for b in boxes]
+
+    def over(a, b):
+        inside = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return inside
+
+    return [sum(j != i and size[j] < 0.6 * size[i] and min(size[i], size[j]) > 0 and over(boxes[i], boxes[j]) / min(size[i], size[j]) >= 0.8 for j in range(len(boxes))) >= 2 for i in range(len(boxes))]
+
+
+def claimed(options: list[tuple], targets: list[tuple]) -> list[int | None]:
+    """options and targets: (label, left, top, right, bottom). Options by top and left each take the nearest target of their label
+    that none took before; ties to the first target."""
+    centre = lambda b: ((b[1] + b[3]) / 2, (b[2] + b[4]) / 2)
+    taken, out = set(), [None] * len(options)
+    for i in sorted(range(len(options)), key=lambda i: (options[i][2], options[i][1], i)):
+        x, y = centre(options[i])
+        free = [j for j in range(len(targets)) if j not in taken and targets[j][0] == options[i][0]]
+        if free:
+            out[i] = min(free, key=lambda j: ((centre(targets[j])[0] - x) ** 2 + (centre(targets[j])[1] - y) ** 2, j))
+            taken.add(out[i])
+    return out
+
+
+def owned_rows(rows: list[tuple[int, set]]) -> list[int]:
+    """rows: (options, child ids). By most options, a row is chosen if no chosen one shares a child; ties to the first."""
+    used: set = set()
+    out = []
+    for i in sorted(range(len(rows)), key=lambda i: (-rows[i][0], i)):
+        if not rows[i][1] & used:
+            out.append(i)
+            used |= rows[i][1]
+    return sorted(out)
+
+
+def inline_runs(regions: list[tuple]) -> list[int]:
+    """regions in reading order: (left, top, right, bottom, kind, inline). A run number each: neighbours go on in one line where they
+    overlap by 0.4 of the smaller height and the second starts right of the first, at most three heights on; a control may join any kind."""
+    out, run = [], 0
+    for i, b in enumerate(regions):
+        if i:
+            a = regions[i - 1]
+            smaller = min(a[3] - a[1], b[3] - b[1])
+            level = smaller > 0 and (min(a[3], b[3]) - max(a[1], b[1])) / smaller >= 0.4
+            kinds = a[4] == b[4] or "control" in (a[4], b[4])
+            gap = b[0] - a[2]
+            if not (a[5] and b[5] and kinds and level and b[0] > a[0] and -smaller <= gap <= 3 * smaller):
+                run += 1
+        out.append(run)
+    return out
+
+
+def paragraphs(boxes: list[tuple], lines: list[int]) -> list[int]:
+    """A paragraph number for every word: a line goes on in the paragraph if it starts within a median height below the last line and
+    shares x with it."""
+    height = median(b[3] - b[1] for b in boxes) if boxes else 0
+    hull: dict[int, list] = {}
+    for b, n in zip(boxes, lines):
+        h = hull.setdefault(n, list(b))
+        h[:] = [min(h[0], b[0]), min(h[1], b[1]), max(h[2], b[2]), max(h[3], b[3])]
+    number, last, n = {}, None, 0
+    for k in sorted(hull, key=lambda k: (hull[k][1], hull[k][0], k)):
+        h = hull[k]
+        if last is None or h[1] - last[3] > height or min(h[2], last[2]) <= max(h[0], last[0]):
+            n += 1
+        number[k], last = n, h
+    return [number[k] for k in lines]
+
+
 def _by_page(regions: DataFrame, column: str, kind: str, f) -> DataFrame:
     schema = regions.schema.simpleString().removeprefix("struct<").removesuffix(">")
 
@@ -141,3 +240,75 @@ def with_lines(words: DataFrame) -> DataFrame:
 def without_overlaps(detections: DataFrame, most: float = 0.5) -> DataFrame:
     """detections with a column score; ties by region_id."""
     return _by_page(detections, "dropped", "boolean", lambda p, b: suppressed(b, p.score.tolist(), most)).filter("not dropped").drop("dropped")
+
+
+def with_paragraphs(words: DataFrame) -> DataFrame:
+    return _by_page(words, "paragraph", "int", lambda _, b: paragraphs(b, text_lines(b)))
+
+
+def with_rows(regions: DataFrame) -> DataFrame:
+    """Row numbers of seeded rows with the rule for tall boxes."""
+
+    def rows(_, boxes):
+        height = median(b[3] - b[1] for b in boxes)
+        out = [0] * len(boxes)
+        for n, row in enumerate(page_rows(boxes, list(range(len(boxes))), height), 1):
+            for i in row:
+                out[i] = n
+        return out
+
+    return _by_page(regions, "row", "int", rows)
+
+
+def resolved_controls(detections: DataFrame, most: float = 0.5) -> DataFrame:
+    """Detections without overlaps and without boxes around several kept ones."""
+    kept = without_overlaps(detections, most)
+    return _by_page(kept, "spans", "boolean", lambda _, b: spanning(b)).filter("not spans").drop("spans")
+
+
+def with_inline_runs(regions: DataFrame) -> DataFrame:
+    """regions with kind, inline and reading_order; the run in reading order."""
+
+    def runs(page, boxes):
+        order = page.reading_order.argsort(kind="stable").tolist()
+        found = inline_runs([(*boxes[i], page.kind[i], bool(page.inline[i])) for i in order])
+        out = [0] * len(boxes)
+        for i, r in zip(order, found):
+            out[i] = r
+        return out
+
+    return _by_page(regions, "run", "int", runs)
+
+
+def form_order(regions: DataFrame) -> DataFrame:
+    """regions with container_id (null: none). The regions of a container are one block of its hull: blocks by the cut, inside a block
+    row by row."""
+
+    def order(page, boxes):
+        groups: dict = {}
+        for i, c in enumerate(page.container_id):
+            groups.setdefault(("r", i) if c is None or c != c else ("c", c), []).append(i)
+        keys = list(groups)
+        hulls = [(min(boxes[i][0] for i in g), min(boxes[i][1] for i in g), max(boxes[i][2] for i in g), max(boxes[i][3] for i in g)) for g in groups.values()]
+        height = median(b[3] - b[1] for b in boxes)
+        return _ranks([i for k in cut_order(hulls) for row in page_rows(boxes, groups[keys[k]], height) for i in row])
+
+    return _by_page(regions, "form_rank", "int", order)
+
+
+def separated_order(regions: DataFrame, at: str = "separator") -> DataFrame:
+    """regions with the x of their page's vertical separator (null: none): what lies across it above the first column box comes first,
+    then the left, then the right, then the rest, each by the cut."""
+
+    def order(page, boxes):
+        x = page[at].iloc[0]
+        if x is None or x != x:
+            return _ranks(cut_order(boxes))
+        left = [i for i, b in enumerate(boxes) if b[2] <= x]
+        right = [i for i, b in enumerate(boxes) if b[0] >= x]
+        across = [i for i, b in enumerate(boxes) if b[0] < x < b[2]]
+        top = min((boxes[i][1] for i in left + right), default=0)
+        parts = ([i for i in across if boxes[i][1] < top], left, right, [i for i in across if boxes[i][1] >= top])
+        return _ranks([p[k] for p in parts for k in cut_order([boxes[i] for i in p])])
+
+    return _by_page(regions, "separated_rank", "int", order)
