@@ -54,6 +54,11 @@ def turned(b, width: Column, height: Column, turns: Column) -> list[Column]:
     return [F.when(turns % 4 == 1, forms[1][i]).when(turns % 4 == 2, forms[2][i]).when(turns % 4 == 3, forms[3][i]).otherwise(forms[0][i]) for i in range(4)]
 
 
+def turned_counterclockwise(b, width: Column, height: Column, turns: Column) -> list[Column]:
+    """The box after so many quarter turns counterclockwise of its page."""
+    return turned(b, width, height, F.pmod(-turns, F.lit(4)))
+
+
 def union_of(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
 

@@ -48,10 +48,13 @@ def boxed_date(text: Column) -> Column:
     return F.when(ok, F.concat_ws("/", part(1), part(2), part(3))).otherwise(text)
 
 
-def display_text(kind: Column, text: Column, state: Column, resolution: Column) -> Column:
-    """Controls show their mark before the label; handwriting that can't be read shows so."""
+def display_text(kind: Column, text: Column, state: Column, resolution: Column, native: Column) -> Column:
+    """Controls of the engine's own detector show their mark and label, others only the mark they begin with; what isn't resolved is
+    blank, handwriting says that it can't be read."""
     mark = F.when(state == "selected", "[x]").when(state == "unselected", "[ ]").otherwise("[?]")
-    return F.when(kind == "checkbox", F.trim(F.concat_ws(" ", mark, text))).when((kind == "handwriting") & (resolution == "unreadable"), "[unreadable handwriting]").otherwise(text)
+    label = F.when(resolution == "resolved", text).otherwise("[unresolved text]")
+    control = F.when(native, F.trim(F.concat_ws(" ", mark, label))).otherwise(F.regexp_extract(text, "^(\\[[x ?]\\]|[☐☑☒])", 1))
+    return F.when(kind == "checkbox", control).when(resolution == "resolved", text).when(kind == "handwriting", "[unreadable handwriting]").otherwise("")
 
 
 def evidence_only(truncated: Column, looped: Column, from_text_layer: Column, text: Column, area: Column, kind: Column) -> Column:
@@ -118,12 +121,13 @@ def value_reasons(valid: Column, alternatives: Column, grounding: Column, repair
     return F.when(F.size(first) > 0, first).otherwise(last)
 
 
-def grid_box(box, width: Column, height: Column, turns: Column) -> list[Column]:
-    """A box on a grid of 0 to 1000, seen after so many quarter turns clockwise, in the page's pixels."""
+def grid_box(box, crop, degrees: Column) -> list[Column]:
+    """A box on a grid of 0 to 1000 over a crop (left, top, right, bottom) that was shown turned by 0, 90, 180 or 270 degrees, in the
+    page's pixels."""
     l, t, r, b = box  # noqa: E741
-    forms = ((l, t, r, b), (t, 1000 - r, b, 1000 - l), (1000 - r, 1000 - b, 1000 - l, 1000 - t), (1000 - b, l, 1000 - t, r))
-    side = lambda i, m: F.when(turns % 4 == 1, forms[1][i]).when(turns % 4 == 2, forms[2][i]).when(turns % 4 == 3, forms[3][i]).otherwise(forms[0][i]) * m / 1000
-    return [side(0, width), side(1, height), side(2, width), side(3, height)]
+    forms = {90: (1000 - b, l, 1000 - t, r), 180: (1000 - r, 1000 - b, 1000 - l, 1000 - t), 270: (t, 1000 - r, b, 1000 - l)}
+    turned = [F.when(degrees == 90, forms[90][i]).when(degrees == 180, forms[180][i]).when(degrees == 270, forms[270][i]).otherwise((l, t, r, b)[i]) for i in range(4)]
+    return [F.bround(crop[i % 2] + turned[i] * (crop[i % 2 + 2] - crop[i % 2]) / 1000.0).cast("int") for i in range(4)]
 
 
 def affine_hull(box, m) -> list[Column]:
@@ -165,27 +169,6 @@ def credential(raw: Column) -> Column:
     return F.struct(F.try_element_at(names, v).alias("value"), F.when(F.try_element_at(names, v).isNull(), "unknown credential").alias("problem"))
 
 
-def person_name(raw: Column) -> Column:
-    """struct<first, middle, last, credential>: natural order or last name first; capitals become title case; null if blank."""
-    text = F.trim(raw)
-    inside = F.regexp_extract(text, r"\(([^)]*)\)\s*$", 1)
-    in_parens = credential(inside)["value"]
-    text = F.when(in_parens.isNotNull(), F.trim(F.regexp_replace(text, r"\([^)]*\)\s*$", ""))).otherwise(text)
-    comma = F.contains(text, F.lit(","))
-    before, after = F.trim(F.regexp_extract(text, "^([^,]*)", 1)), F.trim(F.regexp_extract(text, "(?s)^[^,]*,(.*)$", 1))
-    whole = F.when(comma & in_parens.isNull(), credential(after)["value"])
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    tokens = F.when(whole.isNotNull(), words(before)).when(comma, words(after)).otherwise(words(text))
-    trailing = F.when(in_parens.isNull() & whole.isNull(), credential(F.try_element_at(tokens, F.lit(-1)))["value"])
-    tokens = F.when(trailing.isNotNull(), F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
-    swapped, n = comma & whole.isNull(), F.size(tokens)
-    get = lambda i: F.coalesce(F.try_element_at(tokens, F.lit(i)), F.lit(""))
-    middle = F.when(swapped, F.slice(tokens, 2, F.greatest(n - 1, F.lit(0)))).otherwise(F.slice(tokens, 2, F.greatest(n - 2, F.lit(0))))
-    last = F.when(swapped, before).when(n >= 2, get(-1)).otherwise("")
-    case = lambda c: F.when((F.upper(raw) == raw) & (F.lower(raw) != raw), F.initcap(c)).otherwise(c)
-    return F.when(text != "", F.struct(case(get(1)).alias("first"), case(F.array_join(middle, " ")).alias("middle"), case(last).alias("last"), F.coalesce(in_parens, whole, trailing, F.lit("")).alias("credential")))
-
-
 def valid_span(numbers: Column, count: Column) -> Column:
     """Row or column numbers of a cell: some, distinct, in range and without a hole."""
     n = F.size(numbers)

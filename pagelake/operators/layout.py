@@ -312,3 +312,31 @@ def separated_order(regions: DataFrame, at: str = "separator") -> DataFrame:
         return _ranks([p[k] for p in parts for k in cut_order([boxes[i] for i in p])])
 
     return _by_page(regions, "separated_rank", "int", order)
+
+
+def registered(pairs: list[tuple], crop: tuple) -> tuple | None:
+    """pairs: a reply's box on the crop's grid of 0 to 1000 and the detected box (left, top, right, bottom each) of the same unique label.
+    (scale x, offset x, scale y, offset y) of the least squares through the centres, if three or more pairs rise on both axes, the grid
+    misses them by more than half a box, the fit by two at most and by less than the grid; medians are the upper ones."""
+    if len(pairs) < 3:
+        return None
+    centre = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+    seen, real = [centre(a) for a, _ in pairs], [centre(b) for _, b in pairs]
+    line = []
+    for axis in (0, 1):
+        xs, ys = [p[axis] for p in seen], [p[axis] for p in real]
+        mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+        spread = sum((x - mx) ** 2 for x in xs)
+        scale = sum((x - mx) * (y - my) for x, y in zip(xs, ys)) / spread if spread else 0
+        if scale <= 0:
+            return None
+        line += [scale, my - scale * mx]
+    size = (crop[2] - crop[0], crop[3] - crop[1])
+
+    def miss(place):
+        off = [max(abs(place(p)[k] - q[k]) / (b[k + 2] - b[k]) for k in (0, 1)) for p, q, (_, b) in zip(seen, real, pairs)]
+        return sorted(off)[len(off) // 2]
+
+    grid = miss(lambda p: tuple(crop[k] + p[k] * size[k] / 1000 for k in (0, 1)))
+    fit = miss(lambda p: (line[0] * p[0] + line[1], line[2] * p[1] + line[3]))
+    return None if grid <= 0.5 or fit > 2 or fit >= grid else tuple(line)

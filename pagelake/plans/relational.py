@@ -13,14 +13,19 @@ QUERIES, ORACLES = {}, {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
 
-def add(name: str, sql: str, oracle: str | None = None) -> None:
+def rows_of(sql: str):
+    """The query (spark, sf_dir) of a text that names the test tables."""
     used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql)]
     text = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(used)})\b", r"\1 {\2}", sql)
 
     def run(spark, sf_dir):
         return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
-    QUERIES[name], ORACLES[name] = run, oracle or sql
+    return run
+
+
+def add(name: str, sql: str, oracle: str | None = None) -> None:
+    QUERIES[name], ORACLES[name] = rows_of(sql), oracle or sql
 
 
 # usage, metrics, audit

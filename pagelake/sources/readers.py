@@ -9,8 +9,8 @@ PAGE = ["document_id", "page_number"]
 # Image suffixes; limits of a page, a payload and a text layer.
 IMAGES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".webp", ".bmp")
 MOST_CELLS, LAYER_CHARS, LAYER_BITMAPS = 20_000, 50, 0.05
-# Symbols of the Wingdings font and what they show.
-WINGDINGS_FROM, WINGDINGS_TO = "", "☐☐☒✓▪•"
+# Latin-1 characters of the Wingdings font and the boxes that they show.
+WINGDINGS_FROM, WINGDINGS_TO = "¨oqnþýüûx", "☐□☐■☑☒✓✗☒"
 
 
 def source_kind(path: Column) -> Column:
@@ -48,27 +48,56 @@ def text_layer(cells: DataFrame) -> DataFrame:
     """cells (page, text, bitmap_share of the page): pages whose bitmaps exceed 5 % or that have fewer than 50 characters are left out."""
     w = Window.partitionBy(*PAGE)
     gated = cells.withColumn("_c", F.sum(F.length(F.regexp_replace("text", r"\s", ""))).over(w)).withColumn("_b", F.max("bitmap_share").over(w))
-    return gated.filter(f"_c >= {LAYER_CHARS} and _b <= {LAYER_BITMAPS}").drop("_c", "_b").withColumn("text", F.translate("text", WINGDINGS_FROM, WINGDINGS_TO))
+    return gated.filter(f"_c >= {LAYER_CHARS} and _b <= {LAYER_BITMAPS}").drop("_c", "_b")
+
+
+def wingdings(text: Column, font: Column) -> Column:
+    """Text in that font as the symbols it shows."""
+    return F.when(F.contains(F.lower(font), F.lit("wingdings")), F.translate(text, WINGDINGS_FROM, WINGDINGS_TO)).otherwise(text)
 
 
 def reading_direction(chars: DataFrame) -> DataFrame:
-    """chars (page, position, x, y): quarter turns of the page's commonest step; ties to the one seen first."""
+    """chars (page, position, char, x, y): quarter turns of the page's commonest step between neighbours, blanks and steps of 30 points or
+    more aside; ties to the one seen first, no step is no turn."""
     w = Window.partitionBy(*PAGE).orderBy("position")
-    dx, dy = F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")
-    step = F.when(F.abs(dx) >= F.abs(dy), F.when(dx >= 0, 0).otherwise(2)).when(dy >= 0, 1).otherwise(3)
-    counts = chars.withColumn("_dx", dx).withColumn("_dy", dy).withColumn("turns", step).filter("_dx <> 0 or _dy <> 0")
-    each = counts.groupBy(*PAGE, "turns").agg(F.count("*").alias("n"), F.min("position").alias("seen"))
-    return each.withColumn("r", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("n"), "seen"))).filter("r = 1").select(*PAGE, "turns")
+    next_ = chars.withColumn("dx", F.lead("x").over(w) - F.col("x")).withColumn("dy", F.lead("y").over(w) - F.col("y")).withColumn("after", F.lead("char").over(w))
+    far = F.abs("dx") + F.abs("dy")
+    good = (F.trim("char") != "") & (F.trim("after") != "") & (far > 0) & (far < 30)
+    turns = F.when(F.abs("dx") > F.abs("dy"), F.when(F.col("dx") > 0, 0).otherwise(2)).when(F.col("dy") > 0, 1).otherwise(3)
+    each = next_.groupBy(*PAGE, F.when(good, turns).alias("turns")).agg(F.count("*").alias("n"), F.min("position").alias("seen"))
+    first = Window.partitionBy(*PAGE).orderBy(F.col("turns").isNull(), F.desc("n"), "seen")
+    return each.withColumn("r", F.row_number().over(first)).filter("r = 1").select(*PAGE, F.coalesce("turns", F.lit(0)).alias("turns"))
+
+
+def glyph_lines(chars: list[tuple], direction: tuple[float, float] = (1, 0)) -> list[int | None]:
+    """chars of a cell: (char, left, top, right, bottom). A line number each, null for a copy printed over (the same glyph within a
+    quarter of its lesser side) and for breaks; a line begins where the stream steps back by half a size against the direction."""
+    out, line, before, kept = [], 0, None, {}
+    for c, left, top, right, bottom in chars:
+        x, y, sides = (left + right) / 2, (top + bottom) / 2, (right - left, bottom - top)
+        blank = not c.strip()
+        if c in "\r\n" or (not blank and any(abs(u - x) + abs(v - y) < min(sides) / 4 for u, v in kept.get(c, ()))):
+            out.append(None)
+            continue
+        if not blank:
+            kept.setdefault(c, []).append((x, y))
+            if before is None or (x - before[0]) * direction[0] + (y - before[1]) * direction[1] < -max(sides) / 2:
+                line += 1
+            before = (x, y)
+        out.append(line or None)
+    return out
 
 
-def overprints(chars: DataFrame) -> DataFrame:
-    """chars (page, position, char, x, y, size) without those printed again within a quarter of their size of the one before, and with the
-    line that begins anew where the stream steps back."""
-    w = Window.partitionBy(*PAGE).orderBy("position")
-    near = (F.lag("char").over(w) == F.col("char")) & (F.abs(F.lag("x").over(w) - F.col("x")) < F.col("size") / 4) & (F.abs(F.lag("y").over(w) - F.col("y")) < F.col("size") / 4)
-    kept = chars.withColumn("_near", F.coalesce(near, F.lit(False))).filter("not _near").drop("_near")
-    back = F.coalesce((F.col("x") < F.lag("x").over(w)) | (F.abs(F.col("y") - F.lag("y").over(w)) > F.col("size")), F.lit(True))
-    return kept.withColumn("_b", back.cast("int")).withColumn("line", F.sum("_b").over(w)).drop("_b")
+def with_glyph_lines(chars: DataFrame) -> DataFrame:
+    """chars (page, cell_id, position, char, left, top, right, bottom) without copies, with their line."""
+
+    def run(cell):
+        cell = cell.sort_values("position")
+        cell["line"] = glyph_lines(list(cell[["char", "left", "top", "right", "bottom"]].itertuples(index=False, name=None)))
+        return cell.dropna(subset=["line"])
+
+    schema = chars.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    return chars.groupBy(*PAGE, "cell_id").applyInPandas(run, f"{schema},line:int")
 
 
 def tesseract_words(spark: SparkSession, path: str, document_id: str, page_number: int) -> DataFrame:
