@@ -30,7 +30,7 @@ def document_format(kind: Column, first_page_chars: Column, one_bit: Column) ->
 
 
 def files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """Path, size and kinds of the files under a folder; bytes are only read where asked for, else only the first ones."""
+    """Path, size and kinds of the files under a folder; bytes are kept only where asked for. An empty file gives no row."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     out = raw.select("path", "length", source_kind(F.col("path")).alias("kind"), sniffed_kind(F.col("content")).alias("sniffed"), *(["content"] if content else []))
     return out

@@ -141,7 +141,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "f").mkdir()
     (tmp_path / "f/a.PDF").write_bytes(b"%PDF-1.7 x")
     (tmp_path / "f/b.png").write_bytes(b"\x89PNG\r\n")
-    (tmp_path / "f/c.txt").write_bytes(b"")
+    (tmp_path / "f/c.txt").write_bytes(b"text")
+    (tmp_path / "f/d.txt").write_bytes(b"")  # without bytes: no row
     got = {r.path[-5:]: (r.kind, r.sniffed) for r in readers.files(spark, str(tmp_path / "f")).collect()}
     assert got == {"a.PDF": ("pdf", "pdf"), "b.png": ("image", "png"), "c.txt": ("unsupported", "unknown")}
     head = "level page_num block_num par_num line_num word_num left top width height conf text".replace(" ", "\t")
