@@ -26,11 +26,16 @@ def test_identifier_checks(spark):
     assert values(spark, checks.tin, ["12-3456789", "123456789", "12345"]) == ["12-3456789", "12-3456789", None]
     assert values(spark, checks.dea, ["AB1234563", "AB1234560", "A1234563"]) == ["AB1234563", None, None]
     assert values(spark, checks.zip_code, ["12345", "12345-6789", "1234"]) == ["12345", "12345-6789", None]
-    assert values(spark, checks.phone, ["(212) 555-0100", "1-212-555-0100 ext. 7", "555"]) == ["212-555-0100", "212-555-0100 x7", None]
+    assert values(spark, checks.phone, ["(212) 555-0100", "1-212-555-0100 ext. 7", "555"]) == ["(212) 555-0100", "(212) 555-0100 x7", None]
     assert values(spark, checks.state, ["ny", "New York", "nowhere"]) == ["NY", "NY", None]
     assert values(spark, checks.date, ["2024-02-29", "2/30/2024", "2/3/24", "March 4, 2021", "Mar 4, 2021"]) == ["2024-02-29", None, "2024-02-03", "2021-03-04", "2021-03-04"]
     assert values(spark, checks.money, ["$1,000,000", "2 million", "12.50", "1.000.000", "1.500", "none"]) == ["1000000", "2000000", "12.50", "1000000", "1500", None]
-    assert values(spark, checks.yes_no, ["Y", "no", "maybe"]) == ["yes", "no", None]
+    assert values(spark, checks.yes_no, ["Y", "no", "maybe"]) == ["Yes", "No", None]
+    assert values(spark, checks.npi, ["l5482937b4", "NPI: 1548293764"]) == [None, "1548293764"] and values(spark, checks.tin, ["TIN l2-34S6789", "D-O"]) == ["12-3456789", None]
+    assert values(spark, checks.date, ["7/1/2027 12:01 a.m. unless unpaid", "3-4-21", "Sep. 5 2020 10:00 PM", "Smarch 1, 2020", "Due 2024-13-01 or 1/2/2024", None]) == ["2027-07-01", "2021-03-04", "2020-09-05", None, "2024-01-02", None]
+    problems = spark.createDataFrame([("2/30/2024",), ("soon",), ("on 1/2/2024",), ("1/2/2024",)], "raw string").select(checks.date(F.col("raw"))["problem"].alias("p")).collect()
+    assert [r.p for r in problems] == ["impossible date", "unrecognized date", "text around the date ignored", None]
+    assert values(spark, checks.gender, ["woman", "Non-Binary", "?"]) == ["F", "X", None] and values(spark, checks.money, [".", "1.2 thousand"]) == [None, "1200"]
     assert values(spark, checks.taxonomy, ["207Q00000X", "2O7Q00000X", "20"]) == ["207Q00000X", "207Q00000X", None]
 
 
