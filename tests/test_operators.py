@@ -189,3 +189,29 @@ def test_review_and_replays(spark):
     rows = [("d", 1, "a", "text", 1, {"LATIN": 5}, False, "resolved"), ("d", 1, "b", "text", 2, {"CJK": 1}, False, "resolved"), ("d", 1, "c", "text", 3, {"CJK": 1}, True, "resolved")]
     s = spark.createDataFrame(rows, "document_id string, page_number int, region_id string, kind string, reading_order int, scripts map<string,int>, from_pdf boolean, resolution string")
     assert {x.region_id: x.resolution for x in evaluate.foreign_scripts(s).collect()} == {"a": "resolved", "b": "conflicting", "c": "resolved"}
+
+
+def test_stages_and_arrangement(spark):
+    from pagelake.operators import stages
+
+    schema = "document_id string, page_number int, region_id string, kind string, role string, text string, resolution string, confidence double, reading_order int, child_ids array<string>, left double, top double, right double, bottom double"
+    rows = [
+        ("d", 1, "block", "text", "layout_block", "", "resolved", 0.9, 1, ["low"], 0.0, 0.0, 200.0, 200.0),
+        ("d", 1, "low", "text", "", "one two three four", "resolved", 0.9, 2, None, 0.0, 50.0, 90.0, 60.0),
+        ("d", 1, "again", "text", "", "two three", "resolved", 0.9, 3, None, 0.0, 50.0, 80.0, 60.0),
+        ("d", 1, "high", "text", "", "first", "resolved", 0.9, 4, None, 0.0, 0.0, 90.0, 10.0),
+        ("d", 1, "speck", "text", "", ".", "resolved", 0.1, 5, None, 0.0, 80.0, 9.0, 90.0),
+        ("d", 2, "b", "text", "", "no box here", "resolved", 0.9, 2, None, None, None, None, None),
+        ("d", 2, "a", "text", "", "a box here", "resolved", 0.9, 1, None, 0.0, 90.0, 9.0, 99.0),
+    ]
+    r = spark.createDataFrame(rows, schema)
+    got = {(x.page_number, x.region_id): x["rank"] for x in stages.arranged(r).collect()}
+    assert got == {(1, "high"): 1, (1, "low"): 2, (2, "a"): 1, (2, "b"): 2}
+    steps = [("upper", lambda d: d.withColumn("text", F.upper("text"))), ("broken", lambda d: d.select("nowhere")), ("drop", lambda d: d.filter("region_id <> 'speck'"))]
+    out, done, failed = stages.run_stages(r, steps)
+    assert out.count() == 6 and [n for n, _ in failed] == ["broken"]
+    assert {(x.stage, x.page_number): (x.added, x.removed, x.modified) for x in done.collect()} == {("upper", 1): (0, 0, 3), ("upper", 2): (0, 0, 2), ("drop", 1): (0, 1, 0), ("drop", 2): (0, 0, 0)}
+    blocks = spark.createDataFrame([("d", 1, "k", ["low", "high"])], "document_id string, page_number int, block_id string, child_ids array<string>")
+    assert stages.owned(r, blocks).filter("layout_owner_id = 'k'").count() == 2
+    hull = stages.citations(r.filter("page_number = 1").withColumn("value_id", F.lit(1))).first()
+    assert (hull.left, hull.bottom) == (0.0, 200.0)
