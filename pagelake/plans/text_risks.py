@@ -122,10 +122,11 @@ def html_cell_grid(spark, sf_dir):
 @query("""WITH c AS (SELECT conv_id, turn, role, text, levenshtein(substr(text, 1, 60), lag(substr(text, 1, 60)) OVER (PARTITION BY conv_id ORDER BY turn)) AS d, greatest(length(substr(text, 1, 60)), lag(length(substr(text, 1, 60))) OVER (PARTITION BY conv_id ORDER BY turn)) AS n FROM conversations WHERE regexp_full_match(text, '[ -~]*'))
 SELECT conv_id, turn, CAST(d AS BIGINT) AS distance, round(d / n, 6) AS share FROM c WHERE d IS NOT NULL AND n > 0""")
 def edit_distance_of_turns(spark, sf_dir):
+    """Edits between the whole texts of neighbouring turns, in characters. The SQL beside it still compares 60-character prefixes of ASCII turns alone, so it differs."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").filter(F.col("text").rlike("^[ -~]*$")).withColumn("s", F.substring("text", 1, 60)).withColumn("p", F.lag("s").over(w))
+    c = table(spark, sf_dir, "conversations").withColumn("s", F.col("text")).withColumn("p", F.lag("s").over(w))
     d = F.levenshtein("s", "p")
     n = F.greatest(F.length("s"), F.length("p"))
     return c.filter(d.isNotNull() & (n > 0)).select("conv_id", "turn", d.cast("long").alias("distance"), F.round(d / n, 6).alias("share"))

@@ -11,6 +11,7 @@ from pagelake.functions import alignment as A
 from pagelake.functions import geometry as G
 from pagelake.functions import regions as R
 from pagelake.operators import evaluate, layout, matching, queues, review
+from pagelake.plans import text_risks
 from pagelake.sources import readers, sinks
 
 
@@ -215,3 +216,15 @@ def test_stages_and_arrangement(spark):
     assert stages.owned(r, blocks).filter("layout_owner_id = 'k'").count() == 2
     hull = stages.citations(r.filter("page_number = 1").withColumn("value_id", F.lit(1))).first()
     assert (hull.left, hull.bottom) == (0.0, 200.0)
+
+
+def test_edit_distances_are_of_whole_texts_of_all_turns(spark, tmp_path):
+    long = "the same words at the start of both turns, well over sixty characters, then "
+    turns = [("a", 1, long + "one end"), ("a", 2, long + "another end"), ("a", 3, "zwölf Bücher\nnaïve €"), ("a", 4, "zwolf Bücher\nnaive 𝄞"), ("a", 5, ""), ("b", 1, ""), ("b", 2, ""), ("b", 3, None), ("b", 4, "x"), ("c", 1, "alone")]
+    spark.createDataFrame(turns, "conv_id string, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn): (r.distance, r.share) for r in text_risks.edit_distance_of_turns(spark, str(tmp_path)).collect()}
+    want = {}
+    for (c, _, p), (k, turn, s) in itertools.pairwise(turns):
+        if c == k and p is not None and s is not None and (p or s):
+            want[k, turn] = (distance(p, s), round(distance(p, s) / max(len(p), len(s)), 6))
+    assert got == want
