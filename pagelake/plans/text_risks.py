@@ -86,15 +86,21 @@ def token_coverage(spark, sf_dir):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def snippet_recovery(spark, sf_dir):
-    """Benchmark passages that occur verbatim: candidates meet by their first six words, then the whole passage is looked for."""
+    """Benchmark passages that occur verbatim: candidates meet by up to six words inside the passage, then the whole passage is looked for.
+
+    A passage's first and last word may be parts of a document's words, so the key leaves them out; a passage without a word
+    between them is looked for in every document, block by block."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage")))
-    b = b.withColumn("key", F.array_join(F.slice("w", 2, 6), " ")).drop("w")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", words(F.col("text")).alias("w")).filter("size(w) > 0")
-    n = F.greatest(F.size("w") - 5, F.lit(1))
-    keys = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, F.lit(6)), " ")))).alias("key"))
+    b = table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
+    short = b.filter("size(w) < 3").select("item_id", "passage")
+    b = b.filter("size(w) > 2").withColumn("key", F.slice("w", 2, F.least(F.size("w") - 2, F.lit(6))))
+    b = b.select("item_id", "passage", F.size("key").alias("long"), F.array_join("key", " ").alias("key"))
+    texts = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    d = texts.withColumn("w", words(F.col("text"))).join(F.broadcast(b.select("long").distinct()), F.size("w") >= F.col("long"))
+    keys = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("long") + 1), lambda i: F.array_join(F.slice("w", i, F.col("long")), " ")))).alias("key"))
     pairs = keys.join(b.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    return pairs.join(b.select("item_id", "passage"), "item_id").join(d.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
+    found = pairs.join(b.select("item_id", "passage"), "item_id").join(texts, "doc_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
+    return found.unionByName(texts.join(short.hint("shuffle_replicate_nl"), F.contains("text", "passage")).select("item_id", "doc_id"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, line FROM l WHERE length(line) >= 40)

@@ -228,3 +228,18 @@ def test_edit_distances_are_of_whole_texts_of_all_turns(spark, tmp_path):
         if c == k and p is not None and s is not None and (p or s):
             want[k, turn] = (distance(p, s), round(distance(p, s) / max(len(p), len(s)), 6))
     assert got == want
+
+
+def test_snippets_of_any_length_are_found(spark, tmp_path):
+    docs = [(0, "one two three four five six seven eightfold nine"), (1, "twotwo three four five sixth"), (2, "one  two\nthree four"), (3, ""), (4, None), (5, "x"), (6, "prefix one two three four five six seven eight nine ten")]
+    texts = ["", "one", "ne two", "two three", "o three four five six", "one two three four five six seven", "two three four five six seven eight", "one two three four five six seven eight", "two\nthree", " two three ", "x", "absent", "ix seven eight", None]
+    rng = random.Random(4)
+    docs += [(10 + i, " ".join(rng.choice(["a", "ab", "abc", "b"]) for _ in range(rng.randint(1, 12)))) for i in range(30)]
+    for _ in range(60):
+        t = rng.choice(docs[7:])[1]
+        at = rng.randrange(len(t))
+        texts.append(t[at : rng.randint(at, len(t))])
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(tuple(r) for r in text_risks.snippet_recovery(spark, str(tmp_path)).select("item_id", "doc_id").collect())
+    assert got == sorted((i, k) for i, p in enumerate(texts) for k, d in docs if p is not None and d is not None and p in d)
