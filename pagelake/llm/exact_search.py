@@ -7,12 +7,15 @@ rows that tie at the boundary are resolved exactly by vec_id. Queries and candid
 
 Cases: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with a null
 vec_id; vectors of different lengths are compared over zero-padded attributes; a query's candidates are all rows
-but those of its own vec_id; rows that repeat a vec_id and vector count once; an empty table gives no rows; extra columns are ignored.
-Components of absolute value up to 2**20 are exact.
+but those of its own vec_id; rows that repeat a vec_id are ranked row by row; an empty table gives no rows; extra columns are ignored.
+Every finite component is exact: rows whose integers need more than ``NARROW`` bits go to blocks of their own, where planes
+are made from Python integers. Ranks follow the whole score; a score beyond 64 bits is null in the output.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,15 +26,15 @@ from pagelake.llm.common import materialize
 SCALE = 256
 BLOCK = 1 << 15
 QUERIES = 1 << 11
+#: Bits of the integers that blocks of full size hold.
+NARROW = 28
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, v array<long> of the rows that take part."""
+    """vec_id, v array<double> of the rows that take part; they become integers in ``_matrix``."""
     as_double = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), as_double.alias("e")).filter(
-        F.col("vec_id").isNotNull() & (F.size("e") > 0) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > F.lit(float(1 << 20))))
-    )
-    return rows.select("vec_id", F.transform("e", lambda x: F.floor(x * SCALE)).alias("v")).dropDuplicates()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), as_double.alias("v"))
+    return rows.filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
 
 
 class BitSlicedBlock:
@@ -42,13 +45,15 @@ class BitSlicedBlock:
         self.ids, self.n = ids[order], len(ids)
         values = values[order]
         self.low = values.min(0)
-        shifted = (values - self.low).astype(np.int64)
+        shifted = values - self.low
         self.bits = max(1, int(shifted.max()).bit_length())
         words = (self.n + 63) // 64
         planes = np.zeros((values.shape[1], self.bits, words * 8), np.uint8)
-        for j in range(self.bits):
-            packed = np.packbits((shifted >> j & 1).astype(np.uint8), axis=0, bitorder="little")
-            planes[:, j, : len(packed)] = packed.T
+        for at in range(0, self.bits, 32):
+            limb = (shifted >> at & 0xFFFFFFFF).astype(np.int64)
+            for j in range(at, min(at + 32, self.bits)):
+                packed = np.packbits((limb >> (j - at) & 1).astype(np.uint8), axis=0, bitorder="little")
+                planes[:, j, : len(packed)] = packed.T
         self.planes = planes.view(np.uint64)
         everyone = np.zeros(words * 8, np.uint8)
         everyone[: (self.n + 7) // 8] = np.packbits(np.ones(self.n, np.uint8), bitorder="little")
@@ -100,8 +105,8 @@ class BitSlicedBlock:
             weight += 1
         return slices, constant
 
-    def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """vec_ids and scores of the k best rows other than the query's own; ties go to the smaller vec_id."""
+    def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[list[int], list[int]]:
+        """vec_ids and scores, whole, of the k best rows other than the query's own; ties go to the smaller vec_id."""
         slices, constant = self.add(query)
         tied = self.everyone.copy()
         own = np.searchsorted(self.ids, query_id, "left"), np.searchsorted(self.ids, query_id, "right")
@@ -123,10 +128,9 @@ class BitSlicedBlock:
         rows = self._rows(sure)
         if len(rows) < k:
             rows = np.concatenate([rows, self._rows(tied)[: k - len(rows)]])
-        bit = np.array([[s[r >> 6] >> np.uint64(r & 63) & np.uint64(1) for r in rows.tolist()] for s in slices], np.uint64).astype(np.int64).reshape(len(slices), len(rows))
-        scores = (bit << np.arange(len(slices))[:, None]).sum(0) + constant
-        order = np.lexsort((self.ids[rows], -scores))
-        return self.ids[rows][order], scores[order]
+        scores = [sum(1 << i for i, s in enumerate(slices) if int(s[r >> 6]) >> (r & 63) & 1) + constant for r in rows.tolist()]
+        best = sorted(zip(self.ids[rows].tolist(), scores), key=lambda x: (-x[1], x[0]))
+        return [i for i, _ in best], [score for _, score in best]
 
     def _rows(self, bitmap: np.ndarray) -> np.ndarray:
         words = np.flatnonzero(bitmap)
@@ -137,25 +141,55 @@ class BitSlicedBlock:
         return words[w] * 64 + b
 
 
-def _matrix(vectors, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
+def _matrix(vectors, width: int, wide: bool = False) -> np.ndarray:
+    """floor(256 * x), zero-padded, as Python integers if wide."""
+    out = np.zeros((len(vectors), width), object if wide else np.int64)
     for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+        out[i, : len(v)] = [math.floor(x * SCALE) if abs(x) < 1 << 52 else int(x) * SCALE for x in v] if wide else np.floor(v * SCALE)
     return out
 
 
+def _blocks(candidates: pd.DataFrame, width: int, block: int):
+    """Bit-sliced blocks of rows of few bits, and smaller ones of wide rows, in order of size, as Python integers take about eight times the room."""
+    most = np.array([np.abs(v).max() for v in candidates.v])
+    wide = most >= 2.0 ** (NARROW - 8)
+    narrow = candidates[~wide]
+    for at in range(0, len(narrow), block):  # a block stays small even if ids repeat
+        part = narrow.iloc[at : at + block]
+        yield BitSlicedBlock(part.vec_id.to_numpy(), _matrix(part.v, width))
+    order = np.flatnonzero(wide)[np.argsort(most[wide], kind="stable")]
+    bits = np.frexp(most[order])[1] + 10
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end - at + 1) * int(bits[end]) <= block * NARROW // 8:
+            end += 1
+        part = candidates.iloc[order[at:end]]
+        yield BitSlicedBlock(part.vec_id.to_numpy(), _matrix(part.v, width, True))
+        at = end
+
+
+def _sortable(score: int) -> str:
+    """Text that sorts as the whole number does."""
+    digits = f"{abs(score):x}"
+    key = f"{len(digits):04d}{digits}"
+    return "1" + key if score >= 0 else "0" + key.translate(_COMPLEMENT)
+
+
+_COMPLEMENT = str.maketrans("0123456789abcdef", "fedcba9876543210")
+FOUND = "query_id long, vec_id long, score long, sortable string"
+
+
 def _search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, block: int = BLOCK) -> pd.DataFrame:
     found = []
     if len(candidates) and len(queries):
         width = max(max(map(len, candidates.v)), max(map(len, queries.v)))
-        q = _matrix(queries.v, width)
-        for at in range(0, len(candidates), block):  # a block stays small even if ids repeat
-            part = candidates.iloc[at : at + block]
-            index = BitSlicedBlock(part.vec_id.to_numpy(), _matrix(part.v, width))
-            for query_id, vector in zip(queries.vec_id.tolist(), q):
-                ids, scores = index.top(vector, query_id, k)
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+        asked = [(i, _matrix([v], width, np.abs(v).max() >= 2.0 ** (NARROW - 8))[0]) for i, v in zip(queries.vec_id.tolist(), queries.v)]
+        for index in _blocks(candidates, width, block):
+            for query_id, vector in asked:
+                found += [(query_id, i, score if -(1 << 63) <= score < 1 << 63 else None, _sortable(score)) for i, score in zip(*index.top(vector, query_id, k))]
+    columns = zip(*found) if found else [[]] * 4
+    return pd.DataFrame({n: pd.Series(list(c), dtype=t) for n, c, t in zip(("query_id", "vec_id", "score", "sortable"), columns, ("int64", "int64", "Int64", "object"))})
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
@@ -168,6 +202,6 @@ def search(vectors: DataFrame, is_query, k: int = 5, block: int = BLOCK, query_b
     # every block of candidates meets every block of queries: blocks are copied, not rows joined
     left = rows.withColumn("cb", spread(candidate_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = asked.withColumn("qb", spread(query_blocks).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(candidate_blocks - 1).cast("long"))))
-    met = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(lambda c, q: _search(c, q, k, block), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(lambda c, q: _search(c, q, k, block), FOUND)
+    w = Window.partitionBy("query_id").orderBy(F.desc("sortable"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

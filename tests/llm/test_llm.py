@@ -237,6 +237,24 @@ def test_search_against_all_scores(spark):
     assert exact_search.search(d.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_exact_search_keeps_great_components_and_repeated_rows(spark):
+    rng = random.Random(8)
+    great = [2.0**20, -(2.0**20) - 0.5, 3e6 + 0.25, -7e9]
+    for values in (great, [*great, 2.0**40 + 1, 1e18, -1e25, 1e200, -1.7e308]):
+        rows = [(i, [rng.choice([-1.5, 0.1, 0.9, *values[: rng.randint(0, len(values))]]) for _ in range(5)]) for i in range(150)]
+        rows += [(200 + i, [2.0**20 + 1 + i % 7, -0.3, 0.0, 1.0, 2.0**21]) for i in range(60)]
+        rows += [rows[0], rows[3], rows[3], rows[155], rows[155]] + [(200, [0.5] * 5), (201, [9.0] * 3)]
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_search.search(d, F.col("vec_id") % 50 == 0, block=32, query_block=3).collect()}
+        whole = [(i, [int(x) * 256 if abs(x) > 2**50 else int(np.floor(x * 256)) for x in v]) for i, v in rows]
+        want = {}
+        for q in {i for i, _ in whole if i % 50 == 0}:
+            pairs = sorted((-sum(x * y for x, y in zip(a, b)), i) for j, a in whole if j == q for i, b in whole if i != q)
+            want |= {(q, r): (i, -s if -(1 << 63) <= -s < 1 << 63 else None) for r, (s, i) in enumerate(pairs[:5], 1)}
+        assert got == want
+        assert any(s is not None for _, s in got.values()) == (values is great)
+
+
 def test_fingerprints_and_edits(spark):
     rng = random.Random(11)
     texts = [(i * 3, words(rng, rng.randint(0, 60))) for i in range(80)] + [(500, ""), (501, None), (502, "é" * 10)]
