@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import discard, materialize, shingle_set
+from pagelake.llm.common import WORD, discard, materialize, shingle_set
 from pagelake.llm.components import connected
 from pagelake.llm.fingerprints import minima, word_hashes
 
@@ -142,6 +142,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     doc_id = F.col("doc_id").cast("long")
     # a row without an id is named by its text, above all ids in use, so that any real id comes before it
     docs = docs.select(doc_id.alias("doc_id"), "text", F.coalesce(doc_id, NAMELESS + F.abs(F.xxhash64("text") / 4).cast("long")).alias("nid"))
+    out = _components(docs, width, percent)
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < NAMELESS, F.col("component")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def _components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, nid, n_shingles, component of every row of docs (doc_id, text, nid); component is the least nid, null without words."""
     own = materialize(prints(docs, width), "near-prints")
     full = own.filter("n_shingles > 0")
     classes = full.groupBy("digest").agg(F.min("nid").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
@@ -211,15 +218,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     of_class = classes.select("digest", F.col("node")).join(labels.select(F.col("node").alias("ln"), "component"), F.col("node") == F.col("ln"), "left").select(F.col("digest").alias("cd"), F.coalesce("component", "node").alias("component"))
     of_class = materialize(of_class, "near-components")
     out = own.join(of_class, (F.col("digest") == F.col("cd")) & (F.col("n_shingles") > 0), "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < NAMELESS, F.col("component")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", "nid", "n_shingles", "component")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, less those whose component has a smaller id; of repeated rows of one id, one."""
-    verdict = near_duplicates(docs, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__near_id")).distinct()
-    verdict = materialize(verdict, "near-kept")
-    named = docs.withColumn("__near_key", F.col("doc_id").cast("long"))
+def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, one of each component: the one with the least id, one without an id only where none has one.
+
+    Rows of equal id and text count as one. Different texts that share an id are nodes of their own, as are texts without
+    an id, named by a hash of both. Rows with neither an id nor a word are linked with nothing and all stay."""
+    doc_id = F.col("doc_id").cast("long")
+    wordless = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD)
+    h = F.xxhash64("text")
+    shared = docs.filter("doc_id is not null").groupBy(doc_id.alias("__near_shared")).agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi")
+    shared = materialize(shared.select("__near_shared"), "near-shared")
+    named = docs.filter(~wordless).join(shared, doc_id == F.col("__near_shared"), "left")
+    alone = F.col("doc_id").isNotNull() & F.col("__near_shared").isNull()
+    named = named.withColumn("__near_key", F.when(alone, doc_id).otherwise(NAMELESS + F.shiftrightunsigned(F.xxhash64(doc_id, "text"), 2))).drop("__near_shared")
+    nodes = _components(named.select(doc_id.alias("doc_id"), "text", F.col("__near_key").alias("nid")), width, percent)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "nid")
+    first = nodes.groupBy(F.coalesce("component", "nid")).agg(F.min_by("nid", order).alias("__near_id")).select("__near_id")
+    verdict = materialize(first, "near-kept")
     kept = named.join(verdict, F.col("__near_key") == F.col("__near_id"), "left_semi").dropDuplicates(["__near_key"]).drop("__near_key")
-    nameless = named.filter("__near_key is null").drop("__near_key")
-    return kept.unionByName(nameless.dropDuplicates(["text"]))
+    return kept.unionByName(docs.filter(wordless))

@@ -119,6 +119,26 @@ def test_rows_without_ids_join_by_text(spark):
     assert near_dedup.keep_first(frame(spark, [(5, base), (5, base), (7, base), (8, "other")])).count() == 2
 
 
+def test_keep_first_keeps_one_row_of_each_component(spark):
+    rng = random.Random(6)
+
+    def near(t, i):
+        w = t.split()
+        w[i] = "changed"
+        return " ".join(w)
+
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    rows = [(9, a), (None, a), (None, near(a, 30)), (None, b), (None, near(b, 20)), (None, b), (5, c), (5, d), (7, near(d, 10)), (5, c), (8, near(c, 3)), (30, e), (30, None), (30, None), (31, ""), (32, None)]
+    rows += [(None, None), (None, None), (None, ""), (None, " \t"), (None, "x y z"), (None, "x y z"), (40, "x y")]
+    out = near_dedup.keep_first(frame(spark, rows))
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    free = {t for t in (b, near(b, 20))}
+    assert sum(n for (i, t), n in got.items() if t in free) == 1
+    assert Counter({k: n for k, n in got.items() if k[1] not in free}) == Counter(
+        [(9, a), (5, c), (5, d), (30, e), (30, None), (31, ""), (32, None), (None, None), (None, None), (None, ""), (None, " \t"), (None, "x y z"), (40, "x y")]
+    )
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(120)] + [(i, i + 1) for i in range(200, 230)]
