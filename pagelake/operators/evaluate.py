@@ -36,11 +36,25 @@ def selected_view(baseline: DataFrame, enhanced: DataFrame, keys: list[str]) ->
 
 
 def consensus(readings: DataFrame, key: str) -> DataFrame:
-    """(key, reader, text): each reader's mean disagreement with the key's other readers; keys with one reader give none. A key has as
-    many rows as there are readers, so the pairs are few."""
-    a, b = readings.alias("a"), readings.alias("b")
-    pairs = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).filter("a.reader <> b.reader")
-    return pairs.groupBy(F.col(f"a.{key}").alias(key), F.col("a.reader").alias("reader")).agg(F.round(F.avg(normalised_distance(F.col("a.text"), F.col("b.text"))), 6).alias("disagreement"))
+    """(key, reader, text): each reader's mean disagreement with the key's other readers; keys with one reader give none. Texts are
+    compared once for all readers who share them: a key's pairs are those of its distinct texts, and a reader's own are taken off."""
+    r = readings.filter("reader is not null").select(F.col(key).alias("key"), "reader", "text")
+    several = r.groupBy("key").agg(F.min("reader").alias("x"), F.max("reader").alias("y")).filter("x <> y").select("key")
+    r = r.join(several, "key", "left_semi").groupBy("key", "reader", "text").agg(F.count("*").alias("n"))
+
+    def compared(rows, keys):
+        """Of each text among the rows of the same keys: summed distances and their number."""
+        a, b = rows.select(*keys, "text"), rows.select(*keys, F.col("text").alias("other"), F.col("n").alias("m"))
+        d = a.join(b, keys).withColumn("d", normalised_distance(F.col("text"), F.col("other")))
+        return d.groupBy(*keys, "text").agg(F.sum(F.col("d") * F.col("m")).alias("s"), F.sum(F.when(F.col("d").isNotNull(), F.col("m"))).alias("c"))
+
+    known = r.filter("text is not null")
+    all_ = compared(known.groupBy("key", "text").agg(F.sum("n").alias("n")), ["key"])
+    own = compared(known, ["key", "reader"]).withColumnsRenamed({"s": "own_s", "c": "own_c"})
+    each = r.join(all_, ["key", "text"], "left").join(own, ["key", "reader", "text"], "left")
+    total = lambda c: F.sum(F.col("n") * (F.coalesce(c, F.lit(0)) - F.coalesce("own_" + c, F.lit(0))))
+    mean = F.round(F.try_divide(total("s"), total("c")), 6)
+    return each.groupBy(F.col("key").alias(key), "reader").agg(mean.alias("disagreement"))
 
 
 def page_turn(votes: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def linked_fields(k, v):
     return matching.linked_fields(k, v).select("key_id", F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("right").alias("x1"), F.col("bottom").alias("y1"), F.col("values").alias("vals"))
 
 
-@query({"p": "SELECT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity > 45", "n": "SELECT p_partkey AS id, p_brand AS label FROM part"}, ", q AS (SELECT a AS id, b AS other FROM p UNION SELECT b, a FROM p) SELECT q.id, min_by(n.label, q.other) AS label, count(*) AS partners FROM q JOIN n ON q.other = n.id GROUP BY q.id")
+@query({"p": "SELECT l_suppkey AS a, l_partkey AS b FROM lineitem", "n": "SELECT p_partkey AS id, p_brand AS label FROM part"}, ", q AS (SELECT a AS id, b AS other FROM p UNION SELECT b, a FROM p) SELECT q.id, min_by(n.label, q.other) AS label, count(*) AS partners FROM q JOIN n ON q.other = n.id GROUP BY q.id")
 def undirected_pairs(p, n):
     return matching.undirected(p, n)
 
@@ -178,7 +178,7 @@ def selected_view(a, z):
     return evaluate.selected_view(a, z, ["conv_id"]).select("conv_id", F.col("view").alias("picked"), "base", "added")
 
 
-@query({"x": "SELECT c_nationkey AS line, c_custkey AS reader, concat(c_mktsegment, CAST(c_custkey % 7 AS STRING)) AS text FROM customer WHERE c_custkey % 5 = 0"}, "SELECT a.line, a.reader, round(avg(levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text))), 6) AS disagreement FROM x a JOIN x b ON a.line = b.line AND a.reader <> b.reader GROUP BY ALL")
+@query({"x": "SELECT c_nationkey AS line, c_custkey AS reader, concat(c_mktsegment, CAST(c_custkey % 7 AS STRING)) AS text FROM customer"}, "SELECT a.line, a.reader, round(avg(levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text))), 6) AS disagreement FROM x a JOIN x b ON a.line = b.line AND a.reader <> b.reader GROUP BY ALL")
 def reader_consensus(x):
     return evaluate.consensus(x, "line")
 

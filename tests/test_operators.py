@@ -11,7 +11,7 @@ from pagelake.functions import alignment as A
 from pagelake.functions import geometry as G
 from pagelake.functions import regions as R
 from pagelake.operators import evaluate, layout, matching, queues, review
-from pagelake.plans import text_risks
+from pagelake.plans import evidence, text_risks
 from pagelake.sources import readers, sinks
 
 
@@ -243,3 +243,31 @@ def test_snippets_of_any_length_are_found(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = sorted(tuple(r) for r in text_risks.snippet_recovery(spark, str(tmp_path)).select("item_id", "doc_id").collect())
     assert got == sorted((i, k) for i, p in enumerate(texts) for k, d in docs if p is not None and d is not None and p in d)
+
+
+def test_consensus_is_over_all_readers(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("kl"), rng.randint(0, 12), rng.choice(["abc", "abd", "xyz", "", None])) for _ in range(60)] + [("one", 1, "abc"), ("one", 1, "abd"), ("k", None, "abc")]
+    got = {(r.line, r.reader): r.disagreement for r in evaluate.consensus(spark.createDataFrame(rows, "line string, reader int, text string"), "line").collect()}
+    want = {}
+    for k, a in {(k, r) for k, r, _ in rows if r is not None}:
+        pairs = [(x, y) for j, r, x in rows for i, q, y in rows if j == i == k and r == a and q is not None and q != a]
+        d = [distance(x, y) / max(len(x), len(y), 1) for x, y in pairs if x is not None and y is not None]
+        if pairs:
+            want[k, a] = pytest.approx(sum(d) / len(d), abs=2e-6) if d else None
+    assert got == want
+    base = "/root/testdata/sf0.001"
+    readers_ = spark.read.parquet(base + "/customer.parquet").groupBy("c_nationkey").count().filter("count > 1").agg(F.sum("count")).first()[0]
+    assert evidence.QUERIES["reader_consensus"](spark, base).count() == readers_
+
+
+def test_undirected_pairs_are_of_all_lines(spark):
+    base = "/root/testdata/sf0.001"
+    lines = {(r.l_suppkey, r.l_partkey) for r in spark.read.parquet(base + "/lineitem.parquet").select("l_suppkey", "l_partkey").collect()}
+    labels = {r.p_partkey for r in spark.read.parquet(base + "/part.parquet").select("p_partkey").collect()}
+    both = {(a, b) for a, b in lines} | {(b, a) for a, b in lines}
+    want = {}
+    for a, b in both:
+        if b in labels:
+            want[a] = want.get(a, 0) + 1
+    assert {r.id: r.partners for r in evidence.QUERIES["undirected_pairs"](spark, base).collect()} == want
