@@ -134,7 +134,7 @@ def owned_labels(o, c):
     return matching.owned_labels(o, c).select("option_id", "child_id")
 
 
-_TURNS = "SELECT conv_id AS document_id, 1 AS page_number, CAST(turn AS BIGINT) AS region_id, 'text' AS kind, CASE WHEN turn % 2 = 0 THEN concat(coalesce(substr(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 60), ''), chr(10), substr(text, 1, 80)) ELSE substr(text, 1, 60) END AS text, CAST(turn AS BIGINT) AS reading_order, CAST(0 AS DOUBLE) AS l, CAST(0 AS DOUBLE) AS t, CAST(100 AS DOUBLE) AS r, CAST(10 + turn AS DOUBLE) AS b FROM conversations"
+_TURNS = "SELECT conv_id AS document_id, 1 AS page_number, CAST(turn AS BIGINT) AS region_id, 'text' AS kind, CASE WHEN turn % 2 = 0 THEN concat(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), chr(10), text) ELSE text END AS text, CAST(turn AS BIGINT) AS reading_order, CAST(0 AS DOUBLE) AS l, CAST(0 AS DOUBLE) AS t, CAST(100 AS DOUBLE) AS r, CAST(10 + turn AS DOUBLE) AS b FROM conversations"
 
 
 @query({"x": _TURNS}, r""", w AS (SELECT document_id, region_id, reading_order, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS words, text FROM x), k AS (SELECT document_id, region_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM x),
@@ -220,10 +220,10 @@ def foreign_scripts(x):
     return evaluate.foreign_scripts(x.withColumn("scripts", A.script_letters("text"))).select("document_id", "region_id", "resolution", F.array_join("foreign", ",").alias("foreign"))
 
 
-@query({"b": "SELECT item_id, text FROM benchmark", "d": "SELECT conv_id, turn, substr(text, 1, 200) AS text FROM conversations WHERE turn = 1"})
+@query({"b": "SELECT item_id, text FROM benchmark", "d": "SELECT conv_id, turn, text FROM conversations WHERE turn = 1"})
 def reading_alignments(b, d):
     """Benchmark passages against first turns of the same number: edits of the best span, grounding and edit counts."""
-    j = b.join(d, F.col("item_id") == F.col("conv_id")).select("item_id", F.substring(b["text"], 1, 60).alias("r"), d["text"].alias("p"))
+    j = b.join(d, F.col("item_id") == F.col("conv_id")).select("item_id", b["text"].alias("r"), d["text"].alias("p"))
     out = j.select("item_id", A.span_alignment("r", "p").alias("s"), A.edit_counts("p", "r").alias("e"), A.grounding("r", "p").alias("grounding"))
     return out.select("item_id", F.col("s.edits").alias("span_edits"), "grounding", "e.insertions", "e.deletions", "e.substitutions")
 

@@ -3,6 +3,8 @@
 import itertools
 import json
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -271,3 +273,33 @@ def test_undirected_pairs_are_of_all_lines(spark):
         if b in labels:
             want[a] = want.get(a, 0) + 1
     assert {r.id: r.partners for r in evidence.QUERIES["undirected_pairs"](spark, base).collect()} == want
+
+
+def test_alignments_and_coverage_are_of_whole_texts(spark, tmp_path):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    passages = [prose(30) for _ in range(3)]
+    wrong = list(passages[1])
+    for i in (70, 90, 110):
+        wrong[i] = "#"
+    turns = [(0, 1, prose(60) + " " + passages[0] + " " + prose(9)), (1, 1, prose(60) + " " + "".join(wrong)), (2, 1, prose(80))]
+    for c in range(3):
+        turns += [(c, 2, prose(40) + "\n" + prose(3)), (c, 3, turns[c][2][100:400]), (c, 4, prose(50) + " " + turns[c][2][200:350])]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.item_id: r for r in evidence.QUERIES["reading_alignments"](spark, str(tmp_path)).collect()}
+    assert [got[0].span_edits, got[0].grounding, got[1].span_edits] == [0, 1.0, 3]
+    for i, p in enumerate(passages):
+        assert got[i].insertions + got[i].deletions + got[i].substitutions == distance(p, turns[i][2])
+        assert got[i].insertions - got[i].deletions == len(turns[i][2]) - len(p)
+    words_of = lambda t: re.findall(r"\w+", t.lower())
+    texts = {(c, n): t for c, n, t in turns}
+    texts = {(c, n): texts[c, n - 1] + "\n" + t if n % 2 == 0 else t for (c, n), t in texts.items()}
+    want = set()
+    for (c, n), t in texts.items():
+        for k, line in enumerate(t.split("\n")):
+            mine = words_of(line)
+            over = [(-len(words_of(o)), m) for (d, m), o in texts.items() if d == c and m != n and len(words_of(o)) > len(mine) >= 2 and (Counter(mine) & Counter(words_of(o))).total() >= 0.8 * len(mine)]
+            if over:
+                want.add((c, n, k, min(over)[1]))
+    assert {tuple(r) for r in evidence.QUERIES["covering_regions"](spark, str(tmp_path)).collect()} == want and want
