@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only where spark.checkpoint.dir is unset, as in tests, one of our own."""
+    """The cluster's shared folder. Only where spark.checkpoint.dir is unset and all runs in one process, as in tests, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
     return named.rstrip("/")
 
