@@ -11,8 +11,9 @@ again: the interleave, which shard each row of the merged order comes from, star
 refined by a symbol a pass, each pass dealing rows by the symbol before them. Where neighbours part first is their
 common prefix; after fifty passes rows that have never parted share 400 bytes: a repeated interval.
 
-A key with more than ``GROUP`` bytes of distinct contexts isn't put into one task: its windows are counted one by one in
-Spark, which gives the same answer.
+A key with more than ``GROUP`` bytes of distinct contexts isn't put into one task: its contexts are cut anew by a longer
+substring (``ANCHORS``), so that its windows part into smaller keys, and these are merged in the same way. The last substring
+is the window itself: such a key has one window, and only its copies count. So a task's share is bounded whatever the data.
 
 Cases: null text is empty; texts under 400 bytes lose nothing; texts without any repeat come back whole; repeated rows are
 copies, so each loses all its bytes if it has 400; an empty table gives no rows; extra columns are ignored.
@@ -24,7 +25,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pagelake.llm.common import discard, materialize, mix, slices
 
 LENGTH = 400
-ANCHOR = 200
+ANCHORS = (200, 300, 360, 390, 400)  # the first deals all texts, each other what the one before it left too large
 STEP = 8  # bytes a symbol
 PIECE = 4096  # windows a context at most
 SHARD, TASK, GROUP = 1 << 15, 1 << 17, 1 << 22  # bytes
@@ -60,17 +60,17 @@ def sliding(f, x: np.ndarray, w: int, fill) -> np.ndarray:
     return f(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def runs_of_keys(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of_keys(data: bytes, anchor: int = ANCHORS[0], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """key, first window, windows and weight of every run of windows with one key. The weight is 2 if the
     run's least substring occurs in it twice, so that the run may repeat a window of its own."""
     b = np.frombuffer(data, np.uint8)
-    n, w = len(b), LENGTH - ANCHOR + 1
+    n, w = len(b), LENGTH - anchor + 1
     if n < LENGTH:
         return (np.zeros(0, np.int64),) * 4
     up, down = _powers(n)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up, out=prefix[1:])
-    h = mix((prefix[ANCHOR:] - prefix[:-ANCHOR]) * down[: n - ANCHOR + 1])
+    h = mix((prefix[anchor:] - prefix[:-anchor]) * down[: n - anchor + 1])
     m = sliding(np.minimum, h, w, np.uint64(0xFFFFFFFFFFFFFFFF))
     first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
     count = np.diff(np.append(first, len(m)))
@@ -80,11 +80,11 @@ def runs_of_keys(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     anchors = h[np.flatnonzero(sliding(np.maximum, padded, w, np.uint64(0)) == h)]
     twice = np.unique(anchors[1:][anchors[1:] == anchors[:-1]])
     weight = 1 + np.isin(key, twice)
-    if count.max() > PIECE:  # long runs in pieces
-        parts = -(-count // PIECE)
+    if count.max() > piece:  # long runs in pieces
+        parts = -(-count // piece)
         i = np.repeat(np.arange(len(first)), parts)
         k = np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)
-        first, count, key, weight = first[i] + k * PIECE, np.minimum(PIECE, count[i] - k * PIECE), key[i], np.maximum(weight[i], 2)
+        first, count, key, weight = first[i] + k * piece, np.minimum(piece, count[i] - k * piece), key[i], np.maximum(weight[i], 2)
     return key.view(np.int64), first, count, weight
 
 
@@ -207,8 +207,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), th.take(pa.array(which)), *(pa.array(x.astype(np.int32)) for x in (first, count, weight))], ["key", "th", "first", "windows", "weight"])
 
 
+CONTEXT = ["key", "ch", "th", "first", "copies", "bytes"]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "ch", "th", "first", "copies", "bytes"]
     for b in batches:
         th, copies, runs = b.column("th"), b.column("copies"), [b.column(c) for c in ("keys", "firsts", "counts")]
         for at, texts in slices(b.column("text"), 2_000_000):
@@ -220,7 +222,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data += [text[a : a + m + LENGTH - 1] for a, m in zip(f.tolist(), n.tolist())]
             which = pa.array(which, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(key)), pa.array([xxhash.xxh3_128_digest(x) for x in data], pa.binary()), th.take(which), pa.array(np.concatenate(first)), copies.take(which), pa.array(data, pa.binary())], names
+                [pa.array(np.concatenate(key)), pa.array([xxhash.xxh3_128_digest(x) for x in data], pa.binary()), th.take(which), pa.array(np.concatenate(first)), copies.take(which), pa.array(data, pa.binary())], CONTEXT
             )
 
 
@@ -250,11 +252,23 @@ def _merge_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield settle(held)
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for key, ch, n, data in zip(b.key, b.ch, b.n, b.bytes):
-            k = len(data) - LENGTH + 1
-            yield pd.DataFrame({"key": key, "ch": [ch] * k, "n": n, "at": np.arange(k, dtype=np.int32), "wh": [xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(k)]})
+def _cut_anew(anchor: int):
+    """Contexts of too large keys as contexts of a longer anchor; th names the context they come from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                parent, copies, data = b.column("th")[i], b.column("n")[i], b.column("bytes")[i].as_py()
+                key, first, count, _ = runs_of_keys(data, anchor, 1 if anchor == LENGTH else PIECE)
+                for at in range(0, len(key), 2000):
+                    f, m = first[at : at + 2000].tolist(), count[at : at + 2000].tolist()
+                    parts = [data[x : x + k + LENGTH - 1] for x, k in zip(f, m)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[at : at + 2000]), pa.array([xxhash.xxh3_128_digest(x) for x in parts], pa.binary()), pa.array([parent.as_py()] * len(f), pa.binary()), pa.array(f, pa.int32()), pa.array([copies.as_py()] * len(f), pa.int64()), pa.array(parts, pa.binary())],
+                        CONTEXT,
+                    )
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +292,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("th").slice(at, len(out)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["th", "n_removed", "n_spans", "kept"])
 
 
+CONTEXTS = "key long, ch binary, th binary, first int, copies long, bytes binary"
+
+
+def _spans(placed: DataFrame, level: int = 0) -> DataFrame:
+    """th, a, e: of each th the removed stretches of its contexts. placed: a written table of contexts."""
+    distinct = placed.groupBy("key", "ch").agg(F.any_value("bytes").alias("bytes"), F.sum("copies").alias("n"))
+    distinct = materialize(distinct, "repeat-distinct")
+    # an exchange of its own for both sides: a key with many contexts can then be dealt over several tasks
+    sizes = materialize(distinct.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size"), F.count("*").alias("m")).select(F.col("key").alias("sk"), "size", "m"), "repeat-sizes")
+    joined = distinct.join(sizes, F.col("key") == F.col("sk"))
+    lone = joined.filter("m = 1 and n > 1").select("key", "ch", F.array(F.lit(0)).alias("a"), F.array(F.octet_length("bytes").cast("int")).alias("e"))
+    last = level + 1 == len(ANCHORS)
+    small = F.lit(False) if last else F.col("size") <= GROUP
+    few = joined.filter("not (m = 1 and n > 1)").filter(small).select("key", "ch", "n", "bytes")
+    ways = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    merged = few.repartition(ways, "key").sortWithinPartitions("key", "ch").mapInArrow(_merge_tasks, "key long, ch binary, a array<int>, e array<int>")
+    results, scratch = lone.unionByName(merged), [distinct, sizes]
+    if not last and not sizes.filter(F.col("size") > GROUP).isEmpty():
+        many = joined.filter(F.col("size") > GROUP).filter("not (m = 1 and n > 1)").select(F.concat(F.unhex(F.lpad(F.hex("key"), 16, "0")), "ch").alias("th"), "n", "bytes")
+        parts = materialize(many.mapInArrow(_cut_anew(ANCHORS[level + 1]), CONTEXTS), "repeat-contexts")
+        deeper = _spans(parts, level + 1).groupBy("th").agg(F.collect_set(F.struct("a", "e")).alias("s"))
+        key = F.conv(F.hex(F.substring("th", 1, 8)), 16, -10).cast("long")
+        results = results.unionByName(deeper.select(key.alias("key"), F.expr("substring(th, 9)").alias("ch"), F.col("s.a").alias("a"), F.col("s.e").alias("e")))
+        scratch.append(parts)
+    results = materialize(results.select(F.col("key").alias("qk"), F.col("ch").alias("qc"), "a", "e"), "repeat-results")
+    discard(*scratch)
+    back = placed.select("key", "ch", "th", "first").join(results, (F.col("key") == F.col("qk")) & (F.col("ch") == F.col("qc")))
+    return back.select("th", "first", F.explode(F.arrays_zip("a", "e")).alias("s")).select("th", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.e")).alias("e"))
+
+
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts with a possible repeat (th, text, copies and their runs), and the spans to remove of each th."""
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.unhex(F.md5("text")))
@@ -289,26 +333,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = long.groupBy("th").agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
     texts = materialize(classes.join(shared, F.col("th") == F.col("sh")).select("th", "text", "copies", "keys", "firsts", "counts"), "repeat-texts")
     discard(runs, keys)
-    placed = materialize(texts.mapInArrow(_contexts, "key long, ch binary, th binary, first int, copies long, bytes binary"), "repeat-contexts")
-    distinct = placed.groupBy("key", "ch").agg(F.any_value("bytes").alias("bytes"), F.sum("copies").alias("n"))
-    distinct = materialize(distinct, "repeat-distinct")
-    # an exchange of its own for both sides: a key with many contexts can then be dealt over several tasks
-    sizes = materialize(distinct.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size"), F.count("*").alias("m")).select(F.col("key").alias("sk"), "size", "m"), "repeat-sizes")
-    joined = distinct.join(sizes, F.col("key") == F.col("sk"))
-    lone = joined.filter("m = 1 and n > 1").select("key", "ch", F.array(F.lit(0)).alias("a"), F.array(F.octet_length("bytes").cast("int")).alias("e"))
-    few = joined.filter(f"not (m = 1 and n > 1) and size <= {GROUP}").select("key", "ch", "n", "bytes")
-    ways = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = few.repartition(ways, "key").sortWithinPartitions("key", "ch").mapInArrow(_merge_tasks, "key long, ch binary, a array<int>, e array<int>")
-    results = lone.unionByName(merged)
-    if not sizes.filter(f"m > 1 and size > {GROUP}").isEmpty():
-        many = joined.filter(f"m > 1 and size > {GROUP}").select("key", "ch", "n", "bytes")
-        single = materialize(many.mapInPandas(_windows, "key long, ch binary, n long, at int, wh binary"), "repeat-windows")
-        again = materialize(single.groupBy("wh").agg(F.sum("n").alias("total")).filter("total > 1").select(F.col("wh").alias("rh")), "repeat-again")
-        hit = single.join(again, F.col("wh") == F.col("rh"))
-        results = results.unionByName(hit.groupBy("key", "ch").agg(F.sort_array(F.collect_set("at")).alias("a")).select("key", "ch", "a", F.transform("a", lambda x: x + LENGTH).alias("e")))
-    results = materialize(results.select(F.col("key").alias("qk"), F.col("ch").alias("qc"), "a", "e"), "repeat-results")
-    back = placed.select("key", "ch", "th", "first").join(results, (F.col("key") == F.col("qk")) & (F.col("ch") == F.col("qc")))
-    spans = back.select("th", F.explode(F.arrays_zip("a", "e")).alias("s"), "first").select("th", F.struct((F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.e")).alias("e")).alias("s"))
+    placed = materialize(texts.mapInArrow(_contexts, CONTEXTS), "repeat-contexts")
+    spans = _spans(placed).select("th", F.struct("a", "e").alias("s"))
     return texts, spans.groupBy("th").agg(F.collect_set("s").alias("spans"))
 
 
