@@ -182,13 +182,14 @@ def _components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         if done is not None:
             named = named.join(done, F.col("band") == F.col("done"), "left_anti")
         several = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select(F.col("band").alias("sb"))
+        several = materialize(several, "near-several")  # joins get exchanges of their own, so that a hot band can be split
         named = materialize(named.join(several, F.col("band") == F.col("sb"), "left_semi"), "near-open")
         if named.isEmpty():
             break
         if measured is None:  # what is open only shrinks from here on
             measured = materialize(_measured(named.select("node").distinct(), texts, classes, width), "near-measured")
         rich = named.join(measured, F.col("node") == F.col("mn"))
-        least = rich.groupBy("band").agg(F.min("n").alias("least_n")).select(F.col("band").alias("lb"), "least_n")
+        least = materialize(rich.groupBy("band").agg(F.min("n").alias("least_n")).select(F.col("band").alias("lb"), "least_n"), "near-least")
         # a member whose shared shingles cannot reach the threshold with even the bucket's smallest set has no link there
         able = rich.join(least, F.col("band") == F.col("lb")).filter(f"100 * shared >= {percent} * (n + greatest(least_n, shared) - shared)")
         able = materialize(able.select("band", "place", "node", "component", "n", "shared", "parts", "bits", "marks"), "near-able")
@@ -196,7 +197,7 @@ def _components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         buckets = per.groupBy("band").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"), F.max_by("least_node", F.xxhash64("component", F.lit(star))).alias("other"))
         few = ((F.col("m") * F.col("m") - F.col("squares")) / 2 <= PAIRS_A_MEMBER * F.col("m")) | F.lit(star > STARS)
         buckets = materialize(buckets.filter("parts > 1").select(F.col("band").alias("of"), F.col("top.component").alias("main"), "other", few.alias("few")), "near-buckets")
-        open_ = able.join(buckets, F.col("band") == F.col("of"))
+        open_ = materialize(able.join(buckets, F.col("band") == F.col("of")), "near-pairing")
         outside = open_.filter("few and component <> main").select(*[F.col(c).alias("o_" + c) for c in ("band", "place", "node", "component", "n", "shared", "parts", "bits", "marks")])
         # each pair is compared at its first common band; the cheap exact bound comes first
         both = outside.join(open_.filter("few"), F.expr(
@@ -209,6 +210,7 @@ def _components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         listed = both.select(F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b"))
         stars = open_.filter("not few").select(F.col("other").alias("a"), F.col("node").alias("b"))
         more = confirmed(listed.distinct()).unionByName(compared(stars))
+        discard(open_, able, least, several)
         now_done = buckets.filter("few").select(F.col("of").alias("done"))
         done = now_done if done is None else done.unionByName(now_done)
         links = links.unionByName(more)
