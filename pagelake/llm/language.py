@@ -1,18 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word (runs between white space; runs over 48 bytes are read in pieces) in both
-directions and labels every position; a text's positions are pooled. A word's summed log probabilities do not depend on
-the text around it, so each distinct word of a batch is read once and counted. Trained in numpy by backpropagation
-through time on words of a bounded sample of rows: ``per_language`` rows of a language, ``words`` words of a row.
+The network reads a text's bytes (white space as single spaces) in both directions and labels every position; the positions'
+log probabilities are pooled over the whole text. States run across words. A text longer than ``SEGMENT`` bytes is read in
+segments that are cut at white space, else between characters, and the states start anew in each. Trained in numpy by
+backpropagation through time on stretches of ``STRETCH`` bytes of a bounded sample of rows: ``per_language`` rows of a
+language, ``stretches`` of a row.
 
 Cases: null text and text without a letter is `und` with score 0; without any labelled language every text is `und`;
-repeated rows get equal results; an empty table gives no rows; extra columns are ignored.
+very long texts and texts without white space are read whole; repeated rows get equal results; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,16 +27,29 @@ from pyspark.sql import functions as F
 from pagelake.llm.common import bucket, slices
 
 PER_LANGUAGE = 300
-WORDS = 120
+STRETCHES = 12
 HIDDEN = 10
-LONGEST = 48
-STEPS = 500
+SEGMENT, STRETCH = 256, 64
+STEPS = 300
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def pieces(word: bytes) -> list[bytes]:
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+def segments(text: bytes, most: int = SEGMENT) -> list[bytes]:
+    """The text in runs of at most ``most`` bytes that together are the text, white space as single spaces."""
+    data = b" ".join(text.split())
+    out, at = [], 0
+    while len(data) - at > most:
+        end = data.rfind(b" ", at + most // 2, at + most) + 1
+        if not end:
+            end = at + most
+            while end > at + most - 4 and data[end] & 0xC0 == 0x80:
+                end -= 1
+        out.append(data[at:end])
+        at = end
+    if at < len(data):
+        out.append(data[at:])
+    return out
 
 
 def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,54 +60,101 @@ def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(x.T), n
 
 
-def sigmoid(x):
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
 @dataclass
 class GruModel:
     languages: list[str]
     p: dict[str, np.ndarray]
 
     def states(self, x: np.ndarray, n: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """(time, words, hidden) states of one direction. Each step touches only the words that reach it."""
+        """(time, runs, hidden) states of one direction. Each step touches only the runs that reach it. The gates have tables of
+        their own, so that every array of a step is contiguous and small."""
         t_max, m = x.shape
         h = self.p[f"u{d}"].shape[0]
         out = np.zeros((t_max, m, h), np.float32)
         now = np.zeros((m, h), np.float32)
-        table, u = self.p[f"e{d}"], self.p[f"u{d}"]
-        alive = np.searchsorted(-n, -np.arange(t_max), "left")  # words longer than t, as lengths descend
+        half = np.float32(0.5)
+        cut = lambda a: [np.ascontiguousarray(a[:, i * h : (i + 1) * h]) * w for i, w in enumerate((half, half, np.float32(1)))]
+        (ez, er, ec), (uz, ur, uc) = cut(self.p[f"e{d}"]), cut(self.p[f"u{d}"])
+        alive = np.searchsorted(-n, -np.arange(t_max), "left")  # runs longer than t, as lengths descend
         for t in range(t_max) if d == "f" else range(t_max - 1, -1, -1):
             k = alive[t]
-            old = now[:k]
-            a = table[x[t, :k]]
-            r = old @ u
-            gate = sigmoid(a[:, : 2 * h] + r[:, : 2 * h])
-            z, reset = gate[:, :h], gate[:, h:]
-            c = np.tanh(a[:, 2 * h :] + reset * r[:, 2 * h :])
-            new = z * old + (1 - z) * c
+            old, at = now[:k], x[t, :k]
+            z = np.tanh(np.take(ez, at, axis=0) + old @ uz)  # sigmoid(v) is (1 + tanh(v / 2)) / 2
+            z += 1
+            z *= half
+            reset = np.tanh(np.take(er, at, axis=0) + old @ ur)
+            reset += 1
+            reset *= half
+            rc = old @ uc
+            c = reset * rc
+            c += np.take(ec, at, axis=0)
+            np.tanh(c, out=c)
             if keep is not None:
-                keep.append((t, k, old.copy(), z, reset, c, r[:, 2 * h :]))
+                keep.append((t, k, old.copy(), z, reset, c, rc))
+            new = np.subtract(old, c)
+            new *= z
+            new += c
             out[t, :k] = new
             now[:k] = new
         return out
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """Log probabilities summed over each word's positions."""
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        for at in range(0, len(order), 4096):
-            pick = order[at : at + 4096]
-            x, n = padded([words[i] for i in pick])
+    def sums(self, runs: list[bytes], batch: int = 1536) -> np.ndarray:
+        """Log probabilities summed over each run's positions."""
+        out = np.zeros((len(runs), len(self.languages)), np.float32)
+        order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
+        for at in range(0, len(order), batch):
+            pick = order[at : at + batch]
+            x, n = padded([runs[i] for i in pick])
             f, b = self.states(x, n, "f"), self.states(x, n, "b")
-            logits = f @ self.p["of"] + b @ self.p["ob"] + self.p["bias"]
-            logits -= logits.max(-1, keepdims=True)
-            logp = logits - np.log(np.exp(logits).sum(-1, keepdims=True))
-            logp *= (np.arange(len(x))[:, None] < n[None, :])[:, :, None]
-            out[pick] = logp.sum(0)
+            for t in range(0, len(x), 16):  # labels of sixteen positions at once, a row a language; runs that have ended add nothing
+                some = slice(t, min(t + 16, len(x)))
+                logits = (f[some] @ self.p["of"] + b[some] @ self.p["ob"] + self.p["bias"]).reshape(-1, len(self.languages))
+                logits = np.ascontiguousarray(logits.T)
+                logits -= logits.max(0)
+                logits -= np.log(np.exp(logits).sum(0))
+                live = np.arange(some.start, some.stop)[:, None] < n[None, :]
+                out[pick] += (logits.reshape(-1, *live.shape) * live).sum(1).T
         return out
 
 
+def gradient(model: GruModel, runs: list[bytes], y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross entropy of all positions, and its gradient by backpropagation through time. runs: longest first."""
+    p, hidden = model.p, model.p["uf"].shape[0]
+    x, n = padded(runs)
+    kept = {"f": [], "b": []}
+    h = {d: model.states(x, n, d, kept[d]) for d in "fb"}
+    logits = h["f"] @ p["of"] + h["b"] @ p["ob"] + p["bias"]
+    logits -= logits.max(-1, keepdims=True)
+    prob = np.exp(logits)
+    prob /= prob.sum(-1, keepdims=True)
+    live = (np.arange(len(x))[:, None] < n[None, :]).astype(np.float32)
+    loss = -float((np.log(np.maximum(prob[:, np.arange(len(runs)), y], 1e-30)) * live).sum() / live.sum())
+    prob[:, np.arange(len(runs)), y] -= 1
+    d_out = prob * (live / live.sum())[:, :, None]
+    g = {"bias": d_out.sum((0, 1))}
+    for d in "fb":
+        g[f"o{d}"] = np.einsum("tmh,tml->hl", h[d], d_out)
+        g[f"u{d}"], into_table, bytes_read = np.zeros_like(p[f"u{d}"]), [], []
+        u, o = p[f"u{d}"], p[f"o{d}"]
+        back = np.zeros((len(runs), hidden), np.float32)
+        for t, k, old, z, reset, c, rc in reversed(kept[d]):  # back through time
+            dh = back[:k] + d_out[t, :k] @ o.T
+            dc = dh * (1 - z) * (1 - c * c)
+            dz = dh * (old - c) * z * (1 - z)
+            dr = dc * rc * reset * (1 - reset)
+            into = np.hstack([dz, dr, dc * reset])
+            into_table.append(np.hstack([dz, dr, dc]))
+            bytes_read.append(x[t, :k])
+            g[f"u{d}"] += old.T @ into
+            back[:k] = dh * z + into @ u.T
+        read = np.concatenate(bytes_read)
+        order = np.argsort(read, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(read[order]) > 0]))
+        g[f"e{d}"] = np.zeros_like(p[f"e{d}"])
+        g[f"e{d}"][read[order][first]] = np.add.reduceat(np.concatenate(into_table)[order], first, axis=0)
+    return loss, g
+
+
 def train(words: list[bytes], langs: list[str], hidden: int = HIDDEN, steps: int = STEPS, batch: int = 256, rate: float = 0.02, seed: int = 3) -> GruModel | None:
     names = sorted(set(langs))
     if not names:
@@ -112,31 +173,7 @@ def train(words: list[bytes], langs: list[str], hidden: int = HIDDEN, steps: int
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(o, max(1, batch // len(names))) for o in of])
         pick = pick[np.argsort([-len(words[i]) for i in pick], kind="stable")]
-        x, n = padded([words[i] for i in pick])
-        kept = {"f": [], "b": []}
-        h = {d: model.states(x, n, d, kept[d]) for d in "fb"}
-        logits = h["f"] @ p["of"] + h["b"] @ p["ob"] + p["bias"]
-        logits -= logits.max(-1, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(-1, keepdims=True)
-        live = (np.arange(len(x))[:, None] < n[None, :]).astype(np.float32)
-        prob[:, np.arange(len(pick)), y_all[pick]] -= 1
-        d_out = prob * (live / live.sum())[:, :, None]
-        g = {"bias": d_out.sum((0, 1))}
-        for d in "fb":
-            g[f"o{d}"] = np.einsum("tmh,tml->hl", h[d], d_out)
-            g[f"e{d}"], g[f"u{d}"] = np.zeros_like(p[f"e{d}"]), np.zeros_like(p[f"u{d}"])
-            u, o = p[f"u{d}"], p[f"o{d}"]
-            back = np.zeros((len(pick), hidden), np.float32)
-            for t, k, old, z, reset, c, rc in reversed(kept[d]):  # back through time
-                dh = back[:k] + d_out[t, :k] @ o.T
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (old - c) * z * (1 - z)
-                dr = dc * rc * reset * (1 - reset)
-                into = np.hstack([dz, dr, dc * reset])
-                np.add.at(g[f"e{d}"], x[t, :k], np.hstack([dz, dr, dc]))
-                g[f"u{d}"] += old.T @ into
-                back[:k] = dh * z + into @ u.T
+        g = gradient(model, [words[i] for i in pick], y_all[pick])[1]
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.99 * v[k] + 0.01 * g[k] * g[k]
@@ -144,7 +181,7 @@ def train(words: list[bytes], langs: list[str], hidden: int = HIDDEN, steps: int
     return model
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS) -> GruModel | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, stretches: int = STRETCHES) -> GruModel | None:
     """Learns from rows with text and lang whose crc32 of the id, modulo 4, isn't 2."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.coalesce(bucket(F.col("doc_id"), 4), F.lit(0)) != 2))
     sizes = rows.groupBy("lang").count().collect()  # a row a language
@@ -157,78 +194,38 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS) -
         for b in batches:
             out = []
             for t, lang, h in zip(b.text, b.lang, b.h):
-                got = t.encode("utf-8", "surrogatepass").split()
-                step = max(1, len(got) // words)
-                out += [(int(h), i, lang, bytearray(x)) for i, w in enumerate(got[::step][:words]) for x in pieces(w)[:1]]
-            yield pd.DataFrame(out, columns=["h", "i", "lang", "word"])
+                got = segments(t.encode("utf-8", "surrogatepass"), STRETCH)
+                step = max(1, len(got) // stretches)
+                out += [(int(h), i, lang, bytearray(x)) for i, x in enumerate(got[::step][:stretches])]
+            yield pd.DataFrame(out, columns=["h", "i", "lang", "run"])
 
     picked = rows.filter(place < share[F.col("lang")]).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    got = sorted((r[0], r[1], r[2], bytes(r[3])) for r in picked.mapInPandas(cut, "h long, i int, lang string, word binary").collect())
-    return train([w for *_, w in got], [lang for _, _, lang, _ in got])
-
-
-class WordSums(dict):
-    """word -> its row of a growing table of summed log probabilities."""
-
-    def __init__(self, model: GruModel, limit: int = 1_000_000):
-        super().__init__()
-        self.model, self.limit = model, limit
-        self.sums, self.used = np.zeros((1024, len(model.languages)), np.float32), 0
-
-    def learn(self, words: list[bytes]) -> None:
-        # long runs are read in pieces
-        parts = [pieces(w) for w in words]
-        flat = self.model.word_sums([x for ps in parts for x in ps])
-        starts = np.concatenate([[0], np.cumsum([len(ps) for ps in parts])[:-1]])
-        while len(self.sums) < self.used + len(words):
-            self.sums = np.vstack([self.sums, np.zeros_like(self.sums)])
-        self.sums[self.used : self.used + len(words)] = np.add.reduceat(flat, starts, axis=0)
-        self.update(zip(words, range(self.used, self.used + len(words))))
-        self.used += len(words)
-
-    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log probabilities and the number of positions of each text."""
-        lists = pc.ascii_split_whitespace(texts)
-        coded = lists.flatten().dictionary_encode()
-        distinct, place = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
-        if self.used + len(distinct) > self.limit:
-            self.clear()
-            self.used = 0
-        new = [w for w in distinct if w and w not in self]
-        if new:
-            self.learn(new)
-        zero = not distinct or b"" in distinct
-        rows = np.array([self[w] if w else -1 for w in distinct], np.int64)
-        table = np.where((rows >= 0)[:, None], self.sums[rows], 0) if zero else self.sums[rows]
-        size = np.array([len(w) for w in distinct], np.int64)
-        bounds = lists.offsets.to_numpy()
-        bounds = bounds - bounds[0]
-        out, n = np.zeros((len(texts), self.sums.shape[1])), np.zeros(len(texts), np.int64)
-        full = np.flatnonzero(np.diff(bounds))
-        if len(full):
-            out[full] = np.add.reduceat(table[place].astype(np.float64), bounds[full], axis=0)
-            n[full] = np.add.reduceat(size[place], bounds[full])
-        return out, n
-
-
-_SEEN: dict[str, WordSums] = {}  # of this Python worker, for its next task with the same model
+    got = sorted((r[0], r[1], r[2], bytes(r[3])) for r in picked.mapInPandas(cut, "h long, i int, lang string, run binary").collect())
+    return train([x for *_, x in got], [lang for _, _, lang, _ in got])
+
+
+def text_sums(model: GruModel, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Summed log probabilities and the number of positions of each text."""
+    runs = [segments(t) for t in texts]
+    n = np.array([sum(map(len, r)) for r in runs], np.int64)
+    out = np.zeros((len(texts), len(model.languages)))
+    full = [i for i, r in enumerate(runs) if r]
+    if full:
+        starts = np.concatenate([[0], np.cumsum([len(runs[i]) for i in full])[:-1]])
+        out[full] = np.add.reduceat(model.sums([x for r in runs for x in r]).astype(np.float64), starts, axis=0)
+    return out, n
 
 
 def identify(docs: DataFrame, model: GruModel | None) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    stamp = uuid.uuid4().hex
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if m and stamp not in _SEEN:
-            _SEEN.clear()
-            _SEEN[stamp] = WordSums(m)
         for b in batches:
-            for at, texts in slices(pc.fill_null(b.column("text"), "")):
+            for at, texts in slices(pc.fill_null(b.column("text"), ""), 2_000_000):
                 pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if m:
-                    total, n = _SEEN[stamp].texts(texts)
+                    total, n = text_sums(m, texts.cast(pa.binary()).to_pylist())
                     total /= np.sqrt(np.maximum(n, 1))[:, None]
                     e = np.exp(total - total.max(1, keepdims=True))
                     best, top = total.argmax(1).tolist(), (e.max(1) / e.sum(1)).tolist()
