@@ -4,10 +4,12 @@ Words are hashed; frequent words of the training sample have an embedding of the
 beginning, and what the sample doesn't hold has the zero vector. Filters of several widths
 slide over the whole text, their rectified outputs are max-pooled and a logistic unit gives the logit. The language is
 guessed from the same word hashes (naive Bayes learnt on the training rows), and each guessed language has a calibrated
-threshold, to which the score 0.5 is set. The sample of labelled rows is bounded by ``sample``.
+threshold, to which the score 0.5 is set. The sample of labelled rows is bounded by ``sample``; texts over ``LONGEST``
+characters are not learnt from, but scored whole.
 
 Cases: null and empty texts pool to zero and get a score all the same; without both labels in the sample every text
-scores the base rate; repeated rows score alike; an empty table gives no rows; extra columns are ignored.
+scores the base rate, and 1/3 without any label; repeated rows score alike; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -126,7 +128,7 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None], epochs: i
     filters = [rng.normal(0, 0.2, (w * DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
     for w, f in zip(WIDTHS, filters):
         f[::DIMS, 0] = 1 / w
-    base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1)))
     model = ToxicityModel(keys, vectors, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(len(WIDTHS) * FILTERS), base, logs.astype(np.float32), prior, np.zeros(len(names)))
     if len(y) and 0 < y.sum() < len(y):
         tune = np.arange(len(rows)) % 4 == 0  # thresholds come from texts that the weights haven't seen
@@ -136,8 +138,30 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None], epochs: i
     return model
 
 
-def _descend(model: ToxicityModel, rows, y, epochs, rng, rate: float = 0.02, batch: int = 100) -> None:
-    """Adagrad by backpropagation: pooled outputs pass their gradient to the place that won."""
+def gradients(model: ToxicityModel, rows, y, weight) -> tuple[float, dict]:
+    """The weighted logistic loss of some texts and its gradient by every parameter: pooled outputs pass theirs to the place that won."""
+    ids, starts = joined(rows)
+    pool, places = model.pooled(ids, starts, True)
+    z = np.clip(pool @ model.out + model.base, -60, 60)
+    loss = float((weight * (np.log1p(np.exp(z)) - y * z)).sum() / len(rows))
+    d = (1 / (1 + np.exp(-z)) - y) * weight / len(rows)
+    back = d[:, None] * model.out[None, :] * (pool > 0)
+    g = {"out": pool.T @ d, "base": d.sum(), "vectors": np.zeros_like(model.vectors)}
+    for j, w in enumerate(WIDTHS):
+        f, sl = model.filters[j], slice(j * FILTERS, (j + 1) * FILTERS)
+        b, place = back[:, sl], places[:, sl]
+        g_f = np.zeros_like(f)
+        for i in range(w):
+            row = ids[np.minimum(place + i, len(ids) - 1)]  # (texts, filters)
+            g_f[i * DIMS : (i + 1) * DIMS] = np.einsum("tf,tfd->df", b, model.vectors[row])
+            np.add.at(g["vectors"], row.ravel(), (b[:, :, None] * f[i * DIMS : (i + 1) * DIMS].T[None]).reshape(-1, DIMS))
+        g["filters", j], g["biases", j] = g_f, b.sum(0)
+    g["vectors"][0] = 0
+    return loss, g
+
+
+def _descend(model: ToxicityModel, rows, y, epochs, rng, rate: float = 0.02, batch: int = 100, decay: float = 1e-4) -> None:
+    """Adagrad over balanced batches."""
     model.out[::FILTERS] = 1.0
     sums = {}
 
@@ -150,31 +174,15 @@ def _descend(model: ToxicityModel, rows, y, epochs, rng, rate: float = 0.02, bat
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            ids, starts = joined([rows[i] for i in pick])
-            pool, places = model.pooled(ids, starts, True)
             weight = np.where(y[pick] > 0, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
-            z = pool @ model.out + model.base
-            d = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[pick]) * weight / len(pick)
-            back = d[:, None] * model.out[None, :] * (pool > 0)
-            g_out = pool.T @ d + 1e-4 * model.out
-            g_vec = np.zeros_like(model.vectors)
-            for j, w in enumerate(WIDTHS):
-                f, sl = model.filters[j], slice(j * FILTERS, (j + 1) * FILTERS)
-                b, place = back[:, sl], places[:, sl]
-                g_f = np.zeros_like(f)
-                for i in range(w):
-                    at_i = np.minimum(place + i, len(ids) - 1)
-                    row = ids[at_i]  # (texts, filters)
-                    x = model.vectors[row]
-                    g_f[i * DIMS : (i + 1) * DIMS] = np.einsum("tf,tfd->df", b, x)
-                    np.add.at(g_vec, row.ravel(), (b[:, :, None] * f[i * DIMS : (i + 1) * DIMS].T[None]).reshape(-1, DIMS))
-                move(("f", j), f, g_f + 1e-4 * f)
-                move(("b", j), model.biases[j], b.sum(0))
-            g_vec[0] = 0
-            move("v", model.vectors, g_vec)
-            move("o", model.out, g_out)
+            _, g = gradients(model, [rows[i] for i in pick], y[pick], weight)
+            for j in range(len(WIDTHS)):
+                move(("f", j), model.filters[j], g["filters", j] + decay * model.filters[j])
+                move(("b", j), model.biases[j], g["biases", j])
+            move("v", model.vectors, g["vectors"])
+            move("o", model.out, g["out"] + decay * model.out)
             base = np.array([model.base])
-            move("c", base, np.array([d.sum()]))
+            move("c", base, np.array([g["base"]]))
             model.base = float(base[0])
 
 
@@ -190,7 +198,7 @@ def _calibrate(model: ToxicityModel, rows, y) -> None:
     def best(z, y):
         order = np.argsort(z)
         s, t = z[order], y[order]
-        wrong = np.concatenate([[0], np.cumsum(t)]) / max(t.sum(), 1) + (np.concatenate([np.cumsum((1 - t)[::-1])[::-1], [0]])) / max((1 - t).sum(), 1)
+        wrong = np.concatenate([[0], np.cumsum(t)]) + np.concatenate([np.cumsum((1 - t)[::-1])[::-1], [0]])
         low = np.flatnonzero(wrong == wrong.min())
         i = low[len(low) // 2]
         edges = np.concatenate([[s[0] - 1], s, [s[-1] + 1]])
