@@ -33,7 +33,8 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return ordinal.grade(docs, ordinal.fit(docs, table(spark, sf_dir, "labels")))
+    graded = ordinal.grade(docs, ordinal.fit(docs, table(spark, sf_dir, "labels")))
+    return graded.withColumn("held_out", F.coalesce(bucket(F.col("doc_id"), 5) == 0, F.lit(False)))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
