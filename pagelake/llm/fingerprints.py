@@ -12,6 +12,8 @@ the next document is the row itself; repeated rows each give their row; an empty
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,22 +54,38 @@ def as_hex(m: np.ndarray) -> str:
     return m.astype(">u4").tobytes().hex()
 
 
+def _range_of(bounds: list[int], nulls: int):
+    """The range of a row by doc_id and h, ascending: ``nulls`` ranges of null ids, then for each bound one of the ids before it and as
+    many of the id itself as it occurs among the bounds, each parted by h. So rows that share an id do not meet in one range."""
+    counts = Counter(bounds)
+    ids = sorted(counts)
+    part = lambda n: F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * n).cast("int"), n - 1)
+    if not ids:
+        return F.when(F.col("doc_id").isNull(), part(F.lit(nulls))).otherwise(F.lit(nulls))
+    offsets = list(itertools.accumulate([nulls] + [1 + counts[i] for i in ids]))
+    wide = max(1, int(len(ids) ** 0.5))  # two steps of a search, each over about the root of the bounds
+    blocks = [ids[i : i + wide] for i in range(0, len(ids), wide)]
+    longs = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
+    under = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("doc_id")))
+    block = under(longs(b[-1] for b in blocks))
+    place = F.least(block * wide + F.coalesce(under(F.get(F.array(*map(longs, blocks)), block)), F.lit(0)), F.lit(len(ids)))
+    times = F.when(F.get(longs(ids), place) == F.col("doc_id"), F.get(longs(counts[i] for i in ids), place).cast("int"))
+    of_id = F.get(longs(offsets), place).cast("int") + F.coalesce(1 + part(times), F.lit(0))
+    return F.when(F.col("doc_id").isNull(), part(F.lit(nulls))).otherwise(of_id)
+
+
 def successors(docs: DataFrame) -> DataFrame:
     """Rows (p, tail, doc_id, text, h) dealt by ranges of doc_id. In each p, sorted by tail, doc_id descending and h
     descending, every row is followed by its next document: the tail row is a copy of the next range's first row.
 
     The ranges' bounds and first ids, a row a range, are all that reaches the driver."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = 4 * tasks  # several a task, so that tasks come out even
     shares = [i / ranges for i in range(1, ranges)] or [0.5]
-    bounds = rows.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0]
-    bounds = sorted(set(bounds or []))
-    steps = F.array(*[F.lit(b) for b in bounds]) if bounds else F.expr("cast(array() as array<long>)")
-    # range 0 holds the null ids
-    p = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(steps, lambda x: x < F.col("doc_id"))) + 1)
-    dealt = rows.select(p.alias("p"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    found = rows.agg(F.percentile_approx("doc_id", shares, 10_000), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    dealt = rows.select(_range_of(found[0] or [], max(1, -(-found[1] * ranges // max(1, found[2])))).alias("p"), "doc_id", "text", "h")
     heads = dealt.groupBy("p").agg(F.max(F.struct("doc_id", "h")).alias("m")).select("p", "m.doc_id", "m.h").collect()
     heads.sort(key=lambda r: -r[0])
     follows = [(heads[i - 1][0], heads[i][1], heads[i][2]) for i in range(len(heads))]  # this head ends the range before it; the first ends the last
@@ -119,7 +137,8 @@ def _row(doc_id, text, mine, following, theirs, sign):
 
 
 def similar_documents(docs: DataFrame, **options) -> DataFrame:
-    """Groups of similar documents from the same minima: bands are joined in Spark, Jaccard similarity is verified on whole sets."""
+    """doc_id, n_shingles, component_id, kept: groups of similar documents from the same permutations. Bands of four of a fingerprint's
+    minima are joined in Spark, and the Jaccard similarity of candidates is verified on their whole sets."""
     from pagelake.llm.near_dedup import near_duplicates
 
     return near_duplicates(docs, **options)
