@@ -22,10 +22,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SEED = 17
-#: The knapsack fits the last so many words exactly.
+#: The knapsack fits the last so many words exactly, or twice the longest document if that is more.
 KNAPSACK = 1 << 15
-#: A size's documents are chosen by hash bucket, so that no task ranks more than about this share of them.
-BUCKETS = 1024
+#: A size's documents are chosen by hash bucket; with more documents than these hold there are more buckets.
+BUCKETS, PER_BUCKET = 1024, 1 << 18
 
 
 def water_fill(sizes: list[float], weights: list[float], budget: float, most: float = MOST) -> list[float]:
@@ -50,6 +50,7 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int =
     """How many documents of each size to take so that their words come to the budget, or as near below it as
     the knapsack over the last ``window`` words can come. sizes: distinct, positive."""
     sizes, counts = [int(x) for x in sizes], [int(x) for x in counts]
+    window = max(window, 2 * max(sizes, default=0))  # so that very long documents take part in it
     total = sum(s * c for s, c in zip(sizes, counts))
     if budget >= total:
         return np.array(counts, np.int64)
@@ -104,8 +105,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("skey"),
         size.alias("size"),
         F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"),
-    ).withColumn("hb", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    )
     light = materialize(light, "mix-sizes")
+    light = light.withColumn("hb", F.pmod("h", F.lit(max(BUCKETS, light.count() // PER_BUCKET))).cast("int"))
     hist = light.groupBy("skey", "size", "hb").agg(F.count("*").alias("n"))
     hist = materialize(hist, "mix-histogram")
     totals = [(r[0], int(r[1])) for r in hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n"))).collect()]
@@ -147,7 +149,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every column of docs, each row as often as the mix takes it. Rows equal in every column share
     their copies as evenly as whole numbers allow."""
     names = docs.columns
-    keyed = docs.withColumn("__mix_key", F.xxhash64(F.struct(*names)))
+    keyed = docs.withColumn("__mix_key", F.concat_ws(":", F.xxhash64(F.struct(*names)), F.xxhash64(F.lit(SEED), F.struct(*names))))
     copies = mix_sources(keyed.select(F.col("__mix_key").alias("doc_id"), "text", "source"), **options)
     copies = copies.groupBy("doc_id").agg(F.sum("copies").alias("__mix_n"), F.count("*").alias("__mix_rows")).filter("__mix_n > 0")
     copies = materialize(copies.withColumnRenamed("doc_id", "__mix_id"), "mix-copies")

@@ -26,7 +26,8 @@ from pagelake.llm.common import materialize, slices
 
 CAPACITY = 4096
 END = 1
-BUCKETS = 256
+#: Pieces of a length are ranked by hash bucket; with more pieces than these hold there are more buckets.
+BUCKETS, PER_BUCKET = 256, 1 << 18
 PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -192,7 +193,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: s
     """Every piece with its sequence_id and offset."""
     spark = docs.sparkSession
     pieces = cut_pieces(docs, capacity, end, tokenizer)
-    pieces = materialize(pieces.withColumn("hb", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")), "pack-pieces")
+    pieces = materialize(pieces, "pack-pieces")
+    buckets = max(BUCKETS, pieces.count() // PER_BUCKET)
+    pieces = pieces.withColumn("hb", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     hist = materialize(pieces.groupBy("length", "hb").agg(F.count("*").alias("n")), "pack-histogram")
     lengths = {int(r[0]): int(r[1]) for r in hist.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
     slots = spark.sparkContext.broadcast(_slots(plan_bins(lengths, capacity)))
