@@ -54,7 +54,7 @@ def test_every_operator_on_awkward_rows(spark, awkward):
         assert f(d).count() == n
         assert f(none).count() == 0
     assert packing.pack(none).count() == 0 and packing.pack(d).select("doc_id").distinct().count() == 14
-    for f in (near_dedup.keep_first, secret_scan.redact, mixing.mixed_documents):
+    for f in (near_dedup.keep_first, secret_scan.redact, mixing.mixed_documents, lambda x: ordinal.keep_good(x, quality), lambda x: ordinal.keep_good(x, None)):
         out = f(d)
         assert out.columns == d.columns and out.count() > 0 and f(none).count() == 0
 
@@ -223,9 +223,9 @@ def test_bins_use_every_piece():
         assert sum(t for t, _ in bins) <= -(-sum(n * k for n, k in counts.items()) // 100) * 1.5 + 1
 
 
-@pytest.mark.parametrize("group", [1 << 22, 2000])
+@pytest.mark.parametrize("group", [1 << 22, 2000, 1])
 def test_repeats_against_all_windows(spark, monkeypatch, group):
-    monkeypatch.setattr(substring_dedup, "GROUP", group)  # the small bound takes the window-by-window way for every shared key
+    monkeypatch.setattr(substring_dedup, "GROUP", group)  # small bounds cut every shared key anew, down to single windows
     rng = random.Random(6)
     base = words(rng, 300)
     texts = [base[:900] + words(rng, 40), words(rng, 50) + base[200:1000], base[300:720] + "é" + base[300:720], "ab " * 400, words(rng, 100), base[:399], None, base, base, "é" * 300, base[100:499] + words(rng, 30)]
@@ -289,6 +289,60 @@ def test_fingerprints_and_edits(spark):
     assert one.near_next == 1.0
 
 
+def test_fingerprints_against_plain_loops(spark):
+    """Minima of universal hashes over the shingles, one permutation and shingle at a time."""
+    rng = random.Random(12)
+    texts = [words(rng, n) for n in (0, 1, 4, 5, 6, 40, 90)]
+    texts.append(texts[-1])
+
+    def slow(text):
+        hashes = fingerprints.WordHashes()
+        shingles = fingerprints.shingle_set(text, hashes).tolist()
+        a, b = fingerprints._A.tolist(), fingerprints._B.tolist()
+        return [min([((x * s + y) % (1 << 64)) >> 32 for s in shingles] or [(1 << 32) - 1]) for x, y in zip(a[:128], b[:128])]
+
+    got = {r.doc_id: r for r in fingerprints.fingerprint_with_edit(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        mine, after = slow(t), slow(texts[i - 1])
+        assert got[i].fingerprint == "".join(f"{x:08x}" for x in mine)
+        assert got[i].near_next == pytest.approx(sum(x == y for x, y in zip(mine, after)) / 128)
+        cut = len(t) // 3
+        changed = slow(t[: len(t) - cut] + texts[i - 1][:cut])
+        assert got[i].edited_fingerprint == "".join(f"{x:08x}" for x in changed)
+        assert got[i].near_edited == pytest.approx(sum(x == y for x, y in zip(mine, changed)) / 128)
+
+
+def test_next_documents_of_many_equal_and_null_ids(spark):
+    """Ranges part rows of one id and rows without one; each row's next is found all the same."""
+    rng = random.Random(13)
+    pairs = [(7, words(rng, 8)) for _ in range(150)] + [(None, words(rng, 8)) for _ in range(90)] + [(i, words(rng, 8)) for i in range(60)]
+    d = frame(spark, pairs)
+    h = {(r.doc_id, r.text): r.h for r in d.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    order = sorted(pairs, key=lambda p: (p[0] is None, -(p[0] or 0), -h[p]))
+    want = Counter()
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        want[i, hashlib.sha256(fingerprints.edited(t, u).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprints.fingerprint_with_edit(d).collect()) == want
+
+
+def test_similar_documents_against_all_pairs(spark):
+    rng = random.Random(15)
+    texts = []
+    for _ in range(6):
+        base = words(rng, 60).split()
+        for k in range(6):
+            copy = list(base)
+            for j in range(k % 4):
+                copy[10 * j + 5] = words(rng, 1)
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    near = {(i, j) for i in range(36) for j in range(36) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    least = list(range(36))
+    for _ in range(36):
+        least = [min(least[j] for j in range(36) if (i, j) in near) for i in range(36)]
+    assert {r.doc_id: r.component_id for r in fingerprints.similar_documents(frame(spark, texts)).collect()} == dict(enumerate(least))
+
+
 def test_likeness_estimates_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 62, 2000, dtype=np.uint64)
@@ -297,15 +351,118 @@ def test_likeness_estimates_similarity():
 
 
 def test_models_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf, large = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     found = queries.op3_language_id(spark, sf).filter("held_out").join(docs, "doc_id")
     assert found.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    large = "/root/testdata/sf0.1"  # sf0.01 has too few toxic rows of the rarer languages to learn their words from
-    judged = queries.op8_toxicity(spark, large).filter("held_out").join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id")
-    assert judged.filter("toxic <> predicted").count() <= 0.03 * judged.count()
-    assert queries.op5_quality(spark, sf).join(labels, "doc_id").filter("(quality = 1) <> kept").count() <= 8
+    # sf0.01 has too few labels to learn from and to judge by; both bounds follow from four-fold validation within the training rows
+    labels = spark.read.parquet(f"{large}/labels.parquet")
+    judged = queries.op8_toxicity(spark, large).filter("held_out").join(labels, "doc_id")
+    wrong, n = judged.filter("toxic <> predicted").count(), judged.count()
+    print("op8 held out: wrong", wrong, "of", n, "missed", judged.filter("toxic > predicted").count(), "of", judged.filter("toxic = 1").count())
+    assert wrong <= 0.03 * n
+    graded = queries.op5_quality(spark, large).filter("held_out").join(labels, "doc_id")
+    lost, kept = graded.filter("quality = 1 and not kept").count(), graded.filter("quality = 0 and kept").count()
+    good, bad = graded.filter("quality = 1").count(), graded.filter("quality = 0").count()
+    print("op5 held out: good rejected", lost, "of", good, "bad kept", kept, "of", bad)
+    assert lost <= 0.01 * good and kept <= 0.15 * bad
+
+
+def test_models_without_labels(spark):
+    docs = frame(spark, ["a fine day", None, ""])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for d in (docs, docs.filter("false")):
+        assert {r.predicted for r in toxicity.score_toxicity(d, toxicity.fit(d, none)).collect()} <= {0}
+        assert ordinal.keep_good(d, ordinal.fit(d, none)).count() == d.count()
+        assert all(r.kept for r in ordinal.grade(d, ordinal.fit(d, none)).collect())
+        unnamed = d.withColumn("lang", F.lit(None).cast("string"))
+        assert {r.lang_pred for r in language.identify(unnamed, language.fit(unnamed)).collect()} <= {"und"}
+    one = spark.createDataFrame([(0, 1, 1), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert ordinal.keep_good(docs, ordinal.fit(docs, one)).columns == docs.columns
+
+
+def numeric(loss, x, at, step):
+    """The central difference of loss() by x[at]."""
+    old = x[at]
+    x[at] = old + step
+    up = loss()
+    x[at] = old - step
+    down = loss()
+    x[at] = old
+    return (up - down) / (2 * step)
+
+
+def test_language_gradient_and_forward_pass_against_plain_loops():
+    rng = np.random.default_rng(0)
+    runs, y = [b"uber alles", b"the cat", b"a\xc3\xa9"], np.array([0, 1, 1])
+    model = language.train(runs, ["de", "en", "en"], hidden=3, steps=2)
+    for k in model.p:
+        model.p[k] = rng.normal(0, 0.5, model.p[k].shape).astype(np.float64)
+    _, g = language.gradient(model, runs, y)
+    for k, p in model.p.items():
+        for _ in range(6):
+            at = (ord("e"), rng.integers(9)) if k[0] == "e" else tuple(rng.integers(s) for s in p.shape)
+            assert g[k][at] == pytest.approx(numeric(lambda: language.gradient(model, runs, y)[0], p, at, 1e-2), abs=2e-3)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def one(data, d):
+        h, out = np.zeros(3), {}
+        for t in range(len(data)) if d == "f" else reversed(range(len(data))):
+            a, u = model.p["e" + d][data[t]], model.p["u" + d]
+            z, r = sig(a[:3] + h @ u[:, :3]), sig(a[3:6] + h @ u[:, 3:6])
+            h = z * h + (1 - z) * np.tanh(a[6:] + r * (h @ u[:, 6:]))
+            out[t] = h
+        return out
+
+    for data, got in zip(runs, model.sums(runs)):
+        f, b, want = one(data, "f"), one(data, "b"), np.zeros(2)
+        for t in range(len(data)):
+            logits = f[t] @ model.p["of"] + b[t] @ model.p["ob"] + model.p["bias"]
+            want += logits - np.log(np.exp(logits).sum())
+        assert got == pytest.approx(want, abs=1e-3)
+
+
+def test_segments_are_the_whole_text():
+    rng = random.Random(14)
+    for t in ("", " ", "é" * 2000, words(rng, 500), "x" * 10_000, "a \t b\n" + "ü" * 300, "\u2028" * 500):
+        parts = language.segments(t.encode())
+        assert b"".join(parts) == b" ".join(t.encode().split()) and all(0 < len(p) <= 256 for p in parts)
+        for p in parts:
+            p.decode()
+
+
+def test_quality_gradient():
+    rng = np.random.default_rng(1)
+    y, doc, col = np.array([0, 1, 2, 1, 0]), np.repeat(np.arange(5), 3), rng.integers(0, 6, 15)
+    share, balance, p = rng.random(15), np.ones(5) * 1.3, rng.normal(0, 0.7, 8)
+    args = (y, doc, share, col, balance, 6, 1e-3)
+    _, g = ordinal.gradient(p, *args)
+    for i in range(8):
+        assert g[i] == pytest.approx(numeric(lambda: ordinal.gradient(p, *args)[0], p, i, 1e-5), abs=1e-6)
+
+
+def test_toxicity_gradient_and_forward_pass_against_plain_loops():
+    rng = np.random.default_rng(2)
+    model = toxicity.train(["you fool", "fine day here", "fool"] * 6, [1, 0, 1] * 6, ["en"] * 18, epochs=1)
+    model.vectors = rng.normal(0, 1, (9, toxicity.DIMS))
+    model.vectors[0] = 0
+    model.filters = [rng.normal(0, 1, f.shape) for f in model.filters]
+    model.biases = [rng.normal(0, 1, b.shape) for b in model.biases]
+    model.out = rng.normal(0, 1, model.out.shape)
+    rows, y, weight = [np.array([1, 2, 3, 4]), np.array([5]), np.array([6, 7, 8, 1, 2])], np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 1.0])
+    _, g = toxicity.gradients(model, rows, y, weight)
+    for name, x in [("out", model.out), ("vectors", model.vectors), *((("filters", j), f) for j, f in enumerate(model.filters)), *((("biases", j), b) for j, b in enumerate(model.biases))]:
+        for _ in range(8):
+            at = tuple(rng.integers(1 if name == "vectors" and k == 0 else 0, s) for k, s in enumerate(x.shape))
+            assert g[name][at] == pytest.approx(numeric(lambda: toxicity.gradients(model, rows, y, weight)[0], x, at, 1e-5), abs=1e-5)
+    ids, starts = toxicity.joined(rows)
+    pool = model.pooled(ids, starts)[0]
+    for row, got in zip(rows, pool):
+        ext, want = np.vstack([model.vectors[row], np.zeros((2, toxicity.DIMS))]), []
+        for w, f, b in zip(toxicity.WIDTHS, model.filters, model.biases):
+            places = [sum(ext[s + i] @ f[i * toxicity.DIMS : (i + 1) * toxicity.DIMS] for i in range(w)) + b for s in range(len(ext) - w + 1)]
+            want += np.maximum(np.max(places, axis=0), 0).tolist()
+        assert np.all(got >= np.array(want) - 1e-6)  # windows may reach into the rows of zero that follow a text
 
 
 def test_ordered_grades():
