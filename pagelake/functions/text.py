@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,7 +89,7 @@ def repeats_tail(values: pd.Series) -> pd.Series:
 @F.pandas_udf(BooleanType())
 def repeats_suffix(values: pd.Series) -> pd.Series:
     """The last n characters, at least 30 and fewer than half of all, come twice at the end."""
-    return values.map(lambda t: None if t is None else any(t[-n:] == t[-2 * n : -n] for n in range(30, len(t) // 2)) if len(t) < 20_000 else _long_suffix(t))
+    return values.map(lambda t: None if t is None else _long_suffix(t))
 
 
 def _long_suffix(t: str) -> bool:
@@ -108,12 +109,13 @@ def repeats_phrase(values: pd.Series) -> pd.Series:
     def one(t: str | None) -> bool | None:
         if t is None:
             return None
-        w = re.findall(r"\w+", t.lower())
+        places: dict[str, int] = {}
+        w = np.array([places.setdefault(x, len(places)) for x in re.findall(r"\w+", t.lower())], np.int32)
         for n in range(2, min(32, len(w) // 3) + 1):
-            run = 0
-            for i in range(n, len(w)):
-                run = run + 1 if w[i] == w[i - n] else 0
-                if run >= 2 * n and len(set(w[i - n + 1 : i + 1])) >= 2:
+            # a stretch of 2n places that equal those n before them is a phrase that comes three times
+            parted = np.flatnonzero(np.concatenate([[True], w[n:] != w[:-n], [True]]))
+            for i in np.flatnonzero(np.diff(parted) > 2 * n):
+                if len(set(w[parted[i] : parted[i] + n].tolist())) >= 2:
                     return True
         return False
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -12,85 +14,78 @@ PAGE = ["document_id", "page_number"]
 ROW_SHARE, TALL, CUT_GAP, COLUMN_SHARE = 0.5, 3.0, 0.4, 0.7
 
 
-def _gaps(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Gaps between merged intervals: (size, where the gap ends)."""
-    out, end = [], None
-    for low, high in sorted(spans):
-        if end is not None and low > end:
-            out.append((low - end, low))
-        end = high if end is None else max(end, high)
-    return out
+def _parts(low: np.ndarray, high: np.ndarray, gap: float) -> list[np.ndarray]:
+    """Interval sweep: positions by their low end, parted where the next begins ``gap`` or more after all before have ended."""
+    by = np.argsort(low, kind="stable")
+    ended = np.maximum.accumulate(high[by])
+    return np.split(by, np.flatnonzero(low[by][1:] - ended[:-1] >= gap) + 1)
 
 
 def cut_order(boxes: list[tuple]) -> list[int]:
-    """Recursive cut at the widest gap; a column cut only if strictly wider than the widest row gap."""
-
-    def walk(ids: list[int]) -> list[int]:
-        if len(ids) < 2:
-            return ids
-        rows = max(_gaps([(boxes[i][1], boxes[i][3]) for i in ids]), default=(0, None), key=lambda g: g[0])
-        cols = max(_gaps([(boxes[i][0], boxes[i][2]) for i in ids]), default=(0, None), key=lambda g: g[0])
-        if rows[1] is None and cols[1] is None:
-            return sorted(ids, key=lambda i: (boxes[i][1], boxes[i][0], i))
-        side, at = (0, cols[1]) if cols[0] > rows[0] else (1, rows[1])
-        return walk([i for i in ids if boxes[i][side] < at]) + walk([i for i in ids if boxes[i][side] >= at])
-
-    return walk(list(range(len(boxes))))
+    """Recursive cut at the widest gap; a column cut only if strictly wider than the widest row gap. Boxes without a gap stay in the
+    order given."""
+    b = np.array(boxes, float).reshape(-1, 4)
+    out, todo = [], [np.arange(len(b))]
+    while todo:
+        ids = todo.pop()
+        best = (0.0, None, None)
+        for axis in (1, 0) if len(ids) > 1 else ():
+            low, high = b[ids, axis], b[ids, axis + 2]
+            by = np.argsort(low, kind="stable")
+            gaps = low[by][1:] - np.maximum.accumulate(high[by])[:-1]
+            at = int(gaps.argmax())
+            if gaps[at] > best[0]:
+                best = (gaps[at], axis, low[by][at + 1])
+        if best[1] is None:
+            out += ids.tolist()
+        else:
+            after = b[ids, best[1]] >= best[2]
+            todo += [ids[after], ids[~after]]
+    return out
 
 
 def page_rows(boxes: list[tuple], ids: list[int], height: float, tall: bool = True) -> list[list[int]]:
-    """Rows by seed: the topmost box left takes all boxes that share half of the smaller height with it; with ``tall``, boxes above
-    three median heights stay alone. Rows from the top, boxes in them from the left."""
-
-    def joins(a, b):
-        high = (a[3] - a[1], b[3] - b[1])
-        if tall and height and max(high) > TALL * height:
-            return False
-        smaller = min(high)
-        return smaller > 0 and (min(a[3], b[3]) - max(a[1], b[1])) / smaller >= ROW_SHARE
-
-    left, rows = sorted(ids, key=lambda i: (boxes[i][1], i)), []
-    while left:
-        seed = left[0]
-        row = [i for i in left if i == seed or joins(boxes[seed], boxes[i])]
-        left = [i for i in left if i not in set(row)]
-        rows.append(sorted(row, key=lambda i: boxes[i][0]))
-    return sorted(rows, key=lambda r: min(boxes[i][1] for i in r))
-
-
-def bands(boxes: list[tuple], ids: list[int], axis: int, gap: float, reach: float | None = None) -> list[list[int]]:
-    """Groups along an axis (0: x, 1: y) parted where a box starts ``gap`` or more after all before it end; a box longer than
-    ``reach`` only counts that far."""
-    out, end = [], None
-    for i in sorted(ids, key=lambda i: (boxes[i][axis], i)):
-        low, high = boxes[i][axis], boxes[i][axis + 2]
-        if end is None or low - end >= gap:
-            out.append([])
-        out[-1].append(i)
-        high = low + reach if reach and high - low > reach else high
-        end = high if end is None else max(end, high)
-    return out
+    """Seeded rows: each box in turn from the top, unless it has a row, starts one with all boxes still without a row that overlap it by
+    half of the smaller height; with ``tall``, a box above three median heights is a row of its own. Rows from the top, from the left inside."""
+    b, ids = np.array(boxes, float).reshape(-1, 4), np.array(ids, int)
+    top, bottom = b[ids, 1], b[ids, 3]
+    size = bottom - top
+    alone = (size > TALL * height) & bool(tall and height)
+    number, rows = np.full(len(ids), -1), 0
+    for i in np.lexsort((ids, top)):
+        if number[i] < 0:
+            shared, least = np.minimum(bottom, bottom[i]) - np.maximum(top, top[i]), np.minimum(size, size[i])
+            near = (least > 0) & (shared >= ROW_SHARE * least) & ~alone & ~alone[i]
+            near[i] = True
+            number[near & (number < 0)] = rows
+            rows += 1
+    first = np.full(rows, np.inf)
+    np.minimum.at(first, number, top)
+    place = np.argsort(np.argsort(first, kind="stable"), kind="stable")
+    order = np.lexsort((b[ids, 0], place[number]))
+    return [x.tolist() for x in np.split(ids[order], np.flatnonzero(np.diff(place[number][order])) + 1)] if len(ids) else []
 
 
 def banded_order(boxes: list[tuple]) -> list[int]:
-    """Bands from top to bottom first; inside a band columns only if each spans most of the band's height, else row by row. Gaps count
-    from 0.4 median heights on."""
-    height = median(b[3] - b[1] for b in boxes) if boxes else 0
-
-    def walk(ids):
-        if len(ids) < 2:
-            return ids
-        across = bands(boxes, ids, 1, CUT_GAP * height, TALL * height)
-        if len(across) > 1:
-            return [x for b in across for x in walk(b)]
-        columns = bands(boxes, ids, 0, CUT_GAP * height)
-        whole = max(boxes[i][3] for i in ids) - min(boxes[i][1] for i in ids)
-        spans = [max(boxes[i][3] for i in c) - min(boxes[i][1] for i in c) for c in columns]
-        if len(columns) > 1 and whole > 0 and all(s / whole >= COLUMN_SHARE for s in spans):
-            return [x for c in columns for x in walk(c)]
-        return [i for row in page_rows(boxes, ids, height, tall=False) for i in row]
-
-    return walk(list(range(len(boxes))))
+    """Bands from the top first, in which a tall box counts three median heights; a band without bands is read by columns if each of
+    them spans most of its height, else row by row. Gaps count from 0.4 median heights on."""
+    b = np.array(boxes, float).reshape(-1, 4)
+    height = float(np.median(b[:, 3] - b[:, 1])) if len(b) else 0.0
+    out, todo = [], [np.arange(len(b))] if len(b) else []
+    while todo:
+        ids = todo.pop()
+        left, top, right, bottom = b[ids].T
+        bands = _parts(top, np.minimum(bottom, top + TALL * height) if height else bottom, CUT_GAP * height)
+        if len(bands) == 1:
+            columns = _parts(left, right, CUT_GAP * height)
+            whole = bottom.max() - top.min()
+            wide = whole > 0 and all(bottom[c].max() - top[c].min() >= COLUMN_SHARE * whole for c in columns)
+            if len(columns) == 1 or not wide:
+                out += [i for row in page_rows(boxes, ids, height, tall=False) for i in row]
+                continue
+            bands = columns
+        todo += [ids[part] for part in reversed(bands)]
+    return out
 
 
 def text_lines(boxes: list[tuple]) -> list[int]:
@@ -207,15 +202,48 @@ def paragraphs(boxes: list[tuple], lines: list[int]) -> list[int]:
     return [number[k] for k in lines]
 
 
-def _by_page(regions: DataFrame, column: str, kind: str, f) -> DataFrame:
+def with_columns(regions: DataFrame, columns: dict[str, tuple[str, Callable]]) -> DataFrame:
+    """Columns {name: (type, f(page, boxes))} of every page in one pass: pages are dealt by hash and sorted, and a task walks through its
+    pages batch by batch, so that small pages cost neither a group nor an exchange each. A page's rows come by region_id."""
+    names = regions.columns
     schema = regions.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    boxed = [*map(names.index, ("left", "top", "right", "bottom"))]
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            new = np.flatnonzero((batch[PAGE] != batch[PAGE].shift()).any(axis=1).to_numpy())
+            if held and (held[0][PAGE].iloc[0] == batch[PAGE].iloc[0]).all():
+                new = new[1:]
+            for part in np.split(np.arange(len(batch)), new):
+                if len(part) and part[0] in new and held:
+                    yield pd.concat(held, ignore_index=True)
+                    held = []
+                if len(part):
+                    held.append(batch.iloc[part])
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready, n = [], 0
+        for page in pages(batches):
+            boxes = list(zip(*(page.iloc[:, i].tolist() for i in boxed)))
+            ready.append(page.assign(**{c: f(page, boxes) for c, (_, f) in columns.items()}))
+            n += len(page)
+            if n >= 5000:
+                yield pd.concat(ready, ignore_index=True)
+                ready, n = [], 0
+        if ready:
+            yield pd.concat(ready, ignore_index=True)
+
+    dealt = regions.repartition(*PAGE).sortWithinPartitions(*PAGE, "region_id")
+    return dealt.mapInPandas(run, schema + "".join(f",{c}:{kind}" for c, (kind, _) in columns.items()))
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("region_id").reset_index(drop=True)
-        page[column] = f(page, list(page[["left", "top", "right", "bottom"]].itertuples(index=False, name=None)))
-        return page
 
-    return regions.groupBy(*PAGE).applyInPandas(run, f"{schema},{column}:{kind}")
+def _by_page(regions: DataFrame, column: str, kind: str, f) -> DataFrame:
+    return with_columns(regions, {column: (kind, f)})
 
 
 def _ranks(order: list[int]) -> list[int]:
@@ -233,6 +261,11 @@ def with_banded_order(regions: DataFrame) -> DataFrame:
     return _by_page(regions, "banded_rank", "int", lambda _, b: _ranks(banded_order(b)))
 
 
+def with_orders(regions: DataFrame) -> DataFrame:
+    """Both orders and the lines, in one pass."""
+    return with_columns(regions, {"cut_rank": ("int", lambda _, b: _ranks(cut_order(b))), "banded_rank": ("int", lambda _, b: _ranks(banded_order(b))), "line": ("int", lambda _, b: text_lines(b))})
+
+
 def with_lines(words: DataFrame) -> DataFrame:
     return _by_page(words, "line", "int", lambda _, b: text_lines(b))
 
@@ -246,18 +279,17 @@ def with_paragraphs(words: DataFrame) -> DataFrame:
     return _by_page(words, "paragraph", "int", lambda _, b: paragraphs(b, text_lines(b)))
 
 
-def with_rows(regions: DataFrame) -> DataFrame:
-    """Row numbers of seeded rows with the rule for tall boxes."""
+def _row_numbers(_, boxes):
+    out = [0] * len(boxes)
+    for n, row in enumerate(page_rows(boxes, range(len(boxes)), median(b[3] - b[1] for b in boxes)), 1):
+        for i in row:
+            out[i] = n
+    return out
 
-    def rows(_, boxes):
-        height = median(b[3] - b[1] for b in boxes)
-        out = [0] * len(boxes)
-        for n, row in enumerate(page_rows(boxes, list(range(len(boxes))), height), 1):
-            for i in row:
-                out[i] = n
-        return out
 
-    return _by_page(regions, "row", "int", rows)
+def with_rows(regions: DataFrame) -> DataFrame:
+    """Row numbers of seeded rows with the rule for tall boxes."""
+    return _by_page(regions, "row", "int", _row_numbers)
 
 
 def resolved_controls(detections: DataFrame, most: float = 0.5) -> DataFrame:
@@ -266,52 +298,60 @@ def resolved_controls(detections: DataFrame, most: float = 0.5) -> DataFrame:
     return _by_page(kept, "spans", "boolean", lambda _, b: spanning(b)).filter("not spans").drop("spans")
 
 
+def _runs(page, boxes):
+    order = page.reading_order.argsort(kind="stable").tolist()
+    found = inline_runs([(*boxes[i], page.kind[i], bool(page.inline[i])) for i in order])
+    out = [0] * len(boxes)
+    for i, r in zip(order, found):
+        out[i] = r
+    return out
+
+
 def with_inline_runs(regions: DataFrame) -> DataFrame:
     """regions with kind, inline and reading_order; the run in reading order."""
+    return _by_page(regions, "run", "int", _runs)
 
-    def runs(page, boxes):
-        order = page.reading_order.argsort(kind="stable").tolist()
-        found = inline_runs([(*boxes[i], page.kind[i], bool(page.inline[i])) for i in order])
-        out = [0] * len(boxes)
-        for i, r in zip(order, found):
-            out[i] = r
-        return out
 
-    return _by_page(regions, "run", "int", runs)
+def _form_ranks(page, boxes):
+    groups: dict = {}
+    for i, c in enumerate(page.container_id):
+        groups.setdefault(("r", i) if c is None or c != c else ("c", c), []).append(i)
+    keys = list(groups)
+    hulls = [(min(boxes[i][0] for i in g), min(boxes[i][1] for i in g), max(boxes[i][2] for i in g), max(boxes[i][3] for i in g)) for g in groups.values()]
+    height = median(b[3] - b[1] for b in boxes)
+    return _ranks([i for k in cut_order(hulls) for row in page_rows(boxes, groups[keys[k]], height) for i in row])
 
 
 def form_order(regions: DataFrame) -> DataFrame:
     """regions with container_id (null: none). The regions of a container are one block of its hull: blocks by the cut, inside a block
     row by row."""
+    return _by_page(regions, "form_rank", "int", _form_ranks)
 
-    def order(page, boxes):
-        groups: dict = {}
-        for i, c in enumerate(page.container_id):
-            groups.setdefault(("r", i) if c is None or c != c else ("c", c), []).append(i)
-        keys = list(groups)
-        hulls = [(min(boxes[i][0] for i in g), min(boxes[i][1] for i in g), max(boxes[i][2] for i in g), max(boxes[i][3] for i in g)) for g in groups.values()]
-        height = median(b[3] - b[1] for b in boxes)
-        return _ranks([i for k in cut_order(hulls) for row in page_rows(boxes, groups[keys[k]], height) for i in row])
 
-    return _by_page(regions, "form_rank", "int", order)
+def _separated_ranks(page, boxes, at: str = "separator"):
+    x = page[at].iloc[0]
+    if x is None or x != x:
+        return _ranks(cut_order(boxes))
+    left = [i for i, b in enumerate(boxes) if b[2] <= x]
+    right = [i for i, b in enumerate(boxes) if b[0] >= x]
+    across = [i for i, b in enumerate(boxes) if b[0] < x < b[2]]
+    top = min((boxes[i][1] for i in left + right), default=0)
+    parts = ([i for i in across if boxes[i][1] < top], left, right, [i for i in across if boxes[i][1] >= top])
+    return _ranks([p[k] for p in parts for k in cut_order([boxes[i] for i in p])])
 
 
 def separated_order(regions: DataFrame, at: str = "separator") -> DataFrame:
     """regions with the x of their page's vertical separator (null: none): what lies across it above the first column box comes first,
     then the left, then the right, then the rest, each by the cut."""
+    return _by_page(regions, "separated_rank", "int", lambda p, b: _separated_ranks(p, b, at))
+
 
-    def order(page, boxes):
-        x = page[at].iloc[0]
-        if x is None or x != x:
-            return _ranks(cut_order(boxes))
-        left = [i for i, b in enumerate(boxes) if b[2] <= x]
-        right = [i for i, b in enumerate(boxes) if b[0] >= x]
-        across = [i for i, b in enumerate(boxes) if b[0] < x < b[2]]
-        top = min((boxes[i][1] for i in left + right), default=0)
-        parts = ([i for i in across if boxes[i][1] < top], left, right, [i for i in across if boxes[i][1] >= top])
-        return _ranks([p[k] for p in parts for k in cut_order([boxes[i] for i in p])])
-
-    return _by_page(regions, "separated_rank", "int", order)
+def with_structures(regions: DataFrame) -> DataFrame:
+    """Paragraphs, rows, inline runs, the order with forms kept whole and the order by separators, in one pass."""
+    return with_columns(regions, {
+        "paragraph": ("int", lambda _, b: paragraphs(b, text_lines(b))), "row": ("int", _row_numbers), "run": ("int", _runs),
+        "form_rank": ("int", _form_ranks), "separated_rank": ("int", _separated_ranks),
+    })
 
 
 def registered(pairs: list[tuple], crop: tuple) -> tuple | None:

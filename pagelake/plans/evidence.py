@@ -231,7 +231,7 @@ def reading_alignments(b, d):
 @query({"x": boxes("region_id", more="p_size % 3 = 0 AS inline, p_partkey AS reading_order, 'text' AS kind, CASE WHEN p_size % 4 = 0 THEN p_size END AS container_id, CAST(CASE WHEN p_partkey % 3 = 0 THEN 150 END AS DOUBLE) AS separator")})
 def page_structures(x):
     """Paragraphs, seeded rows, inline runs, forms kept together and separated columns of every page."""
-    return layout.separated_order(layout.form_order(layout.with_inline_runs(layout.with_rows(layout.with_paragraphs(x))))).select("region_id", "paragraph", "row", "run", "form_rank", "separated_rank")
+    return layout.with_structures(x).select("region_id", "paragraph", "row", "run", "form_rank", "separated_rank")
 
 
 # sources and sinks

@@ -1,12 +1,18 @@
-"""Queries of joins, aggregates, windows and sets over the star tables and events, in SQL.
+"""Queries of joins, aggregates, windows and sets over the star tables and events.
 
-``add(name, sql)`` registers a query whose text both engines read; a second text is the oracle's where dialects differ.
+``add(name, sql)`` registers a query in SQL and its oracle; a second text is the oracle's where dialects differ. ``through`` gives
+a query of that name to the engine's own operator instead: the SQL is then its oracle alone.
 """
 
 from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
+from pagelake.functions import confidence
+from pagelake.functions import geometry as G
+from pagelake.operators import measures as M
 from pagelake.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -127,3 +133,206 @@ f AS (SELECT user_id, ts, event_id, last_value(price) IGNORE NULLS OVER (PARTITI
     """WITH mixed AS (SELECT user_id, ts, event_id, NULL AS price FROM events UNION ALL SELECT o_custkey, o_orderdate, NULL, o_totalprice FROM orders),
 f AS (SELECT user_id, ts, event_id, last_value(price IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id NULLS FIRST, price ROWS UNBOUNDED PRECEDING) AS price FROM mixed) SELECT event_id, price FROM f WHERE event_id IS NOT NULL""")
 add("star_revenue", "SELECT r_name, o_orderpriority, sum(l_extendedprice * (1 - l_discount)) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, o_orderpriority")
+
+
+def through(f):
+    """The query named like f is f's: f gets a function that reads a table or the rows of a text."""
+    assert f.__name__ in ORACLES
+
+    def run(spark, sf_dir):
+        return f(lambda x: table(spark, sf_dir, x) if x in TABLES else rows_of(x)(spark, sf_dir))
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+c = F.col
+
+
+@through
+def usage_summary(rows):
+    return M.usage_summary(rows("events"), "event_type", "value", "user_id")
+
+
+@through
+def daily_volume(rows):
+    return M.daily_volume(rows("events"), "ts")
+
+
+@through
+def median_by_type_day(rows):
+    return M.medians(rows("events"), "event_type", "ts", "value")
+
+
+@through
+def routes_zero_filled(rows):
+    return M.counts_of(rows("events"), "user_id", "event_type", {"views": "view", "purchases": "purchase", "errors": "error"})
+
+
+@through
+def confidence_histogram(rows):
+    return M.histogram(rows("lineitem"), "l_discount", scale=100)
+
+
+@through
+def label_accuracy_by_source(rows):
+    return M.accuracy(rows("labels").join(rows("documents").select("doc_id", "source"), "doc_id"), "source", "quality", "toxic")
+
+
+@through
+def calibration_bins(rows):
+    read = rows("labels").join(rows("documents").select("doc_id", "n_chars"), "doc_id").withColumn("p", confidence.calibrated(1 / (1 + c("n_chars") / 2000.0), c("quality")))
+    return read.groupBy(F.least(F.lit(9), F.floor(c("p") * 10)).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean"), F.avg(c("quality").cast("double")).alias("share"))
+
+
+@through
+def exception_rate(rows):
+    return M.exception_rates(rows("orders"), "o_orderpriority", c("o_orderstatus") == "F", c("o_totalprice") > 200000)
+
+
+@through
+def combined_usage(rows):
+    return M.combined_usage(rows("orders"), "o_custkey", "o_totalprice", "o_orderpriority")
+
+
+@through
+def document_status(rows):
+    return M.document_status(rows("lineitem"), "l_orderkey", c("l_returnflag") == "R")
+
+
+@through
+def page_route(rows):
+    return M.page_route(rows("lineitem"), "l_orderkey", (c("l_discount") > 0.08) | (c("l_tax") > 0.07))
+
+
+@through
+def noisy_or_by_part(rows):
+    return rows("lineitem").groupBy("l_partkey").agg(confidence.noisy_or(c("l_discount")).alias("confidence"), F.count("*").alias("n"))
+
+
+@through
+def latest_per_key(rows):
+    return M.latest(rows("events"), "user_id", ["ts", "event_id"], 2).select("user_id", "event_id", "r")
+
+
+@through
+def hash_split(rows):
+    return rows("part").select("p_partkey", M.hash_split(c("p_name")).alias("split"))
+
+
+@through
+def chunks_of_twelve(rows):
+    return M.chunks(rows("conversations"), "conv_id", ["turn"]).select("conv_id", "turn", "chunk")
+
+
+@through
+def interval_islands(rows):
+    shipped = rows("lineitem").select("l_orderkey", "l_linenumber", c("l_shipdate").alias("low"), (c("l_shipdate") + F.expr("INTERVAL 20 DAYS")).alias("high"))
+    return M.islands(shipped, "l_orderkey", "low", "high", "l_linenumber")
+
+
+@through
+def gap_segments(rows):
+    return M.segments(rows("events"), "user_id", "ts", "event_id", F.expr("INTERVAL 30 MINUTES")).select("user_id", "event_id", "segment")
+
+
+@through
+def row_offsets(rows):
+    return M.row_offsets(rows("lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"], "l_quantity").select("l_orderkey", "l_linenumber", "before")
+
+
+@through
+def boundary_rows(rows):
+    return M.boundary(rows("orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", "first_order", "last_order")
+
+
+@through
+def edge_chains(rows):
+    return M.chains(rows("orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderstatus")
+
+
+@through
+def order_inversions(rows):
+    return M.inversions(rows("lineitem"), "l_orderkey", "l_linenumber", ["l_shipdate", "l_linenumber"])
+
+
+@through
+def argmax_join(rows):
+    pairs = rows("customer").join(rows("orders"), c("c_custkey") == c("o_custkey")).filter("o_totalprice > 20 * c_acctbal")
+    return M.best_match(pairs, "c_custkey", "o_totalprice", "o_orderkey").select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@through
+def latest_verdict(rows):
+    feedback = rows("events").filter("event_type in ('purchase', 'error')").withColumnRenamed("user_id", "c_custkey")
+    return M.latest_verdict(rows("customer").select("c_custkey"), feedback, "c_custkey", "event_type", ["ts", "event_id"])
+
+
+@through
+def kth_occurrence_pairs(rows):
+    of = lambda status: rows("orders").filter(c("o_orderstatus") == status)
+    return M.paired_occurrences(of("F"), of("O"), "o_custkey", "o_orderkey").withColumnsRenamed({"first": "f_order", "second": "o_order"})
+
+
+@through
+def initials_folded(rows):
+    names = rows("customer").withColumn("i", F.substring("c_mktsegment", 1, 1))
+    return M.folded_initials(names, "c_nationkey", "i", "c_mktsegment").select("c_custkey", "joined")
+
+
+def _placed(rows):
+    return rows(_BOX).withColumnsRenamed({"l": "left", "t": "top", "r": "right", "b": "bottom"})
+
+
+@through
+def iou_pairs(rows):
+    x = _placed(rows)
+    a, b = (x.select("grp", *[F.col(s).alias(p + s) for s in ("p_partkey", *G.SIDES)]) for p in ("a_", "b_"))
+    both = a.join(b, "grp").filter("a_p_partkey < b_p_partkey").withColumn("iou", G.iou(G.box("a_"), G.box("b_")))
+    inside, sizes = G.intersection(G.box("a_"), G.box("b_")), G.area(G.box("a_")) + G.area(G.box("b_"))
+    return both.filter(inside > 0.3 * (sizes - inside)).select(c("a_p_partkey").alias("a"), c("b_p_partkey").alias("b"), F.round("iou", 6).alias("iou"))
+
+
+@through
+def nearest_above(rows):
+    x = _placed(rows)
+    return M.nearest_above(x, x.filter("p_partkey % 5 = 0"), ["grp"], "p_partkey")
+
+
+@through
+def smallest_container(rows):
+    x = _placed(rows)
+    return M.smallest_holder(x, x, ["grp"], "p_partkey")
+
+
+@through
+def contained_anti(rows):
+    return M.outside_others(_placed(rows), ["grp"], "p_partkey").select("p_partkey")
+
+
+@through
+def union_boxes(rows):
+    return G.union_of(_placed(rows), "grp").withColumnsRenamed({"left": "l", "top": "t", "right": "r", "bottom": "b"})
+
+
+@through
+def multiset_except(rows):
+    of = lambda flag: rows("lineitem").filter(c("l_returnflag") == flag).select("l_partkey")
+    return of("A").exceptAll(of("R"))
+
+
+@through
+def multiset_intersect(rows):
+    of = lambda status: rows("lineitem").filter(c("l_linestatus") == status).select("l_suppkey")
+    return of("F").intersectAll(of("O"))
+
+
+@through
+def strict_subset(rows):
+    of = lambda status: rows("orders").filter(c("o_orderstatus") == status)
+    return M.fewer(of("F"), of("O"), "o_custkey", "o_orderpriority")
+
+
+@through
+def expiring(rows):
+    return M.expiring(rows("orders"), "o_orderdate", F.lit("1996-01-01").cast("timestamp_ntz")).select("o_orderkey", "state")

@@ -60,7 +60,7 @@ def _boxes(spark, sf_dir):
 def reading_order(spark, sf_dir):
     """Both cuts and the lines of every page of boxes."""
     b = _boxes(spark, sf_dir)
-    return layout.with_lines(layout.with_banded_order(layout.with_cut_order(b))).select("document_id", "page_number", "region_id", "cut_rank", "banded_rank", "line")
+    return layout.with_orders(b).select("document_id", "page_number", "region_id", "cut_rank", "banded_rank", "line")
 
 
 @query()
