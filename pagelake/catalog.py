@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelake.plans import evidence, relational, reviews, text_risks, values
+from pagelake.plans import evidence, inventory, relational, reviews, text_risks, values
 from pagelake.session import table
 
-QUERIES = text_risks.QUERIES | values.QUERIES | relational.QUERIES | evidence.QUERIES | reviews.QUERIES
-ORACLES = text_risks.ORACLES | values.ORACLES | relational.ORACLES | evidence.ORACLES | reviews.ORACLES
+QUERIES = text_risks.QUERIES | values.QUERIES | relational.QUERIES | evidence.QUERIES | reviews.QUERIES | inventory.QUERIES
+ORACLES = text_risks.ORACLES | values.ORACLES | relational.ORACLES | evidence.ORACLES | reviews.ORACLES | inventory.ORACLES
 
 
 def FLAGSHIP(spark, sf_dir):

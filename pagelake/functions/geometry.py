@@ -78,3 +78,8 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], how: s
         return joined.drop("gx", "gy")
     keep = [F.col(f"p.{c}") for c in points.columns] + [F.col(f"b.{c}") for c in boxes.columns if c not in points.columns]
     return joined.select(*keep)
+
+
+def moved(b, dx: Column, dy: Column) -> list[Column]:
+    """A crop's box in the page that the crop was cut from at (dx, dy)."""
+    return [x + d for x, d in zip(b, (dx, dy, dx, dy))]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagelake.functions import alignment as A
 from pagelake.functions import geometry as G
 from pagelake.functions import regions as R
-from pagelake.operators import evaluate, layout, matching, queues, review
+from pagelake.operators import evaluate, layout, matching, presentation, queues, review
 from pagelake.plans import evidence, text_risks
 from pagelake.sources import readers, sinks
 
@@ -303,3 +303,100 @@ def test_alignments_and_coverage_are_of_whole_texts(spark, tmp_path):
             if over:
                 want.add((c, n, k, min(over)[1]))
     assert {tuple(r) for r in evidence.QUERIES["covering_regions"](spark, str(tmp_path)).collect()} == want and want
+
+
+def test_edits_of_whole_turns_against_a_plain_distance(spark, tmp_path):
+    rows = [(1, 1, "user", "héllo wörld " * 9), (1, 2, "user", "hello world " * 9 + "\n"), (1, 3, "user", ""), (2, 1, "user", "a")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.distance for r in text_risks.edit_distance_of_turns(spark, str(tmp_path)).collect()}
+    assert got == {(c, t): distance(rows[i][3], rows[i - 1][3]) for i, (c, t, *_) in enumerate(rows) if t > 1}
+
+
+def test_bands_rows_and_cuts_against_plain_sweeps():
+    rng = random.Random(21)
+
+    def sweep(boxes, ids, axis, gap):
+        out, reach = [], None
+        for i in sorted(ids, key=lambda i: boxes[i][axis]):
+            if reach is None or boxes[i][axis] - reach >= gap:
+                out.append(set())
+            out[-1].add(i)
+            reach = boxes[i][axis + 2] if reach is None else max(reach, boxes[i][axis + 2])
+        return out
+
+    for _ in range(60):
+        boxes = [(x, y, x + rng.randint(3, 60), y + rng.randint(4, 12)) for x, y in ((rng.randint(0, 200), rng.randint(0, 200)) for _ in range(rng.randint(1, 20)))]
+        n = len(boxes)
+        heights = sorted(b[3] - b[1] for b in boxes)
+        height = (heights[(n - 1) // 2] + heights[n // 2]) / 2
+        order = layout.banded_order(boxes)
+        place = {i: k for k, i in enumerate(order)}
+        assert sorted(order) == list(range(n)) == sorted(layout.cut_order(boxes))
+        for first, second in itertools.combinations(sweep(boxes, range(n), 1, 0.4 * height), 2):
+            assert max(place[i] for i in first) < min(place[i] for i in second)
+        rows = layout.page_rows(boxes, range(n), height)
+        assert sorted(i for r in rows for i in r) == list(range(n))
+        left = set(range(n))
+        for seed in sorted(range(n), key=lambda i: (boxes[i][1], i)):
+            if seed in left:
+                a = boxes[seed]
+                near = {i for i in left if min(a[3], boxes[i][3]) - max(a[1], boxes[i][1]) >= 0.5 * min(a[3] - a[1], boxes[i][3] - boxes[i][1])} | {seed}
+                near = {seed} if a[3] - a[1] > 3 * height else {i for i in near if i == seed or boxes[i][3] - boxes[i][1] <= 3 * height}
+                assert near in [set(r) for r in rows]
+                left -= near
+    assert layout.cut_order([(5, 0, 9, 9), (0, 0, 6, 9)]) == [0, 1]  # no gap: as given
+
+
+def test_pages_in_one_pass(spark):
+    rows = [(d, 1, i, float((i * 37) % 50), float((i * 53) % 60), float((i * 37) % 50 + 9), float((i * 53) % 60 + 4)) for d in range(40) for i in range(1 + d % 7)]
+    d = spark.createDataFrame(rows, "document_id int, page_number int, region_id int, left double, top double, right double, bottom double")
+    got = {(r.document_id, r.region_id): (r.cut_rank, r.banded_rank, r.line) for r in layout.with_orders(d.repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for doc in range(40):
+        boxes = [r[3:] for r in rows if r[0] == doc]
+        for rank, i in enumerate(layout.cut_order(boxes), 1):
+            assert got[doc, i][0] == rank
+        for rank, i in enumerate(layout.banded_order(boxes), 1):
+            assert got[doc, i][1] == rank
+        assert [got[doc, i][2] for i in range(len(boxes))] == layout.text_lines(boxes)
+    assert layout.with_orders(d.filter("false")).count() == 0
+
+
+def test_phrases_against_the_plain_rule(spark):
+    rng = random.Random(22)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(200)] + ["x y z " * 3, "x x x x", None, "Go on. Go on! go on"]
+
+    def plain(t):
+        w = re.findall(r"\w+", t.lower())
+        return any(w[i : i + n] == w[i + n : i + 2 * n] == w[i + 2 * n : i + 3 * n] and len(set(w[i : i + n])) > 1 for n in range(2, 33) for i in range(len(w) - 3 * n + 1))
+
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    from pagelake.functions import text as T
+
+    assert [r.p for r in d.select("i", T.repeats_phrase(F.col("t")).alias("p")).orderBy("i").collect()] == [None if t is None else plain(t) for t in texts]
+
+
+def test_pairs_owners_lines_and_block_types(spark):
+    rows = [("inline", "text", "FROM", (0, 0, 30, 10)), (None, "text", "ACME", (40, -4, 90, 14)), ("colon", "text", "Name:", (0, 40, 30, 50)), (None, "text", "Ann", (0, 55, 30, 65)), (None, "text", "Lee", (2, 70, 30, 80)), ("inline", "text", "Fax", (0, 100, 30, 110)), (None, "text", "small", (40, 100, 60, 110))]
+    assert presentation.pairs_on_page(rows, 200) == [None, 0, None, 2, 2, None, None]
+    boxes = [(0, 0, 100, 100), (10, 10, 50, 50), (20, 20, 30, 30), (60, 60, 120, 90)]
+    assert presentation.image_owners(boxes, [False] * 4) == [None, 0, 0, None]
+    assert presentation.image_owners(boxes, [False, True, False, False]) == [None, 0, 1, None]
+    assert presentation.spatial_lines([(0, 0, 9, 10), (20, 2, 29, 12), (0, 20, 9, 30), (40, 6, 49, 16)]) == [1, 1, 3, 2]
+    page = [("d", 1, i, k, None, t, 200.0, *map(float, b)) for i, (_, k, t, b) in enumerate(rows)]
+    d = spark.createDataFrame(page, "document_id string, page_number int, region_id long, kind string, state string, text string, page_width double, left double, top double, right double, bottom double")
+    assert {r.region_id: r.label_id for r in presentation.with_pairs(d).collect() if r.label_id is not None} == {1: 0, 3: 2, 4: 2}
+    typed = [("GRAND TOTAL", 10, 30), ("a = b + c", 50, 60), ("ann@x.org", 70, 80), ("plain words here", 90, 100), ("1 see there", 196, 200), ("SECOND PART", 110, 120), ("more plain words", 130, 140)]
+    b = spark.createDataFrame([("d", 1, i, "line", t, 0.0, float(a), 50.0, float(z), 200.0, False) for i, (t, a, z) in enumerate(typed)], "document_id string, page_number int, block_id int, block_type string, text string, left double, top double, right double, bottom double, page_height double, learned boolean")
+    assert [r.block_type for r in presentation.with_block_types(b).orderBy("block_id").collect()] == ["title", "formula", "author", "line", "footnote", "heading", "line"]
+
+
+def test_layout_service_and_routing_table(spark, tmp_path):
+    reply = {"document_id": "d", "page_number": 1, "elements": [{"category": "doc_title", "text": "# Big **one**", "score": 0.9, "token_score": 0.5, "box": [0, 0, 9, 9]}, {"category": "table", "text": "<table><tr><td>a</td></tr></table>", "score": 0.9, "token_score": 0.5, "box": [0, 9, 9, 19]}, {"category": "x", "text": "no box"}]}
+    (tmp_path / "a.json").write_text(json.dumps(reply) + "\nbroken\n")
+    got = presentation.layout_service_regions(spark, f"{tmp_path}/a.json").orderBy("reading_order").collect()
+    assert [(r.kind, r.text, r.left, r.bottom) for r in got] == [("title", "Big one", 0, 9), ("text", "a", 0, 19)]
+    assert got[0].confidence == pytest.approx(1 / (1 + 2.718281828459045 ** -(7.93 * -0.6931471805599453 + 1.787 * 0.9 + 1.197)))
+    (tmp_path / "t.csv").write_text("arm,accepted,review\na,40,1\na,0,41\n")
+    row = presentation.routing_table(spark, f"{tmp_path}/t.csv").first()
+    assert (row.total, row.share) == (82, round(40 / 82, 4))
