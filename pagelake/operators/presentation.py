@@ -333,7 +333,7 @@ def spatial_lines(boxes: list[tuple], share: float = 0.5) -> list[int]:
 def pairs_on_page(rows: list[tuple], width: float, reach: float = 0.5, below: float = 1.5, aside: float = 2.0) -> list[int | None]:
     """rows: (caption kind or null, kind, text, box). For each row the caption that it is the value of. Captions by top and left take the
     nearest free row on their right within a share of the page's width, which beside an inline caption must look filled in; a caption
-    before a colon without such takes the row below and those that go on below it."""
+    before a colon without such takes the row below and those that go on below it. A value may itself look like an inline caption."""
     words = lambda t: len((t or "").split())
     high = lambda b: b[3] - b[1]
     out: list[int | None] = [None] * len(rows)
@@ -342,7 +342,7 @@ def pairs_on_page(rows: list[tuple], width: float, reach: float = 0.5, below: fl
         if i in used:
             continue
         label, box = rows[i], rows[i][3]
-        free = [j for j in range(len(rows)) if j != i and j not in used and rows[j][0] is None]
+        free = [j for j in range(len(rows)) if j != i and j not in used and rows[j][0] != "colon"]
         level = [j for j in free if rows[j][3][0] >= box[2] and min(box[3], rows[j][3][3]) - max(box[1], rows[j][3][1]) >= 0.5 * min(high(box), high(rows[j][3])) and rows[j][3][0] - box[2] <= reach * width]
         best = min(level, key=lambda j: (rows[j][3][0], j), default=None)
         if best is not None and label[0] == "inline" and not (words(rows[best][2]) <= C.VALUE_WORDS and (high(rows[best][3]) >= C.TALLER * high(box) or rows[best][1] in ("section-header", "title"))):
@@ -356,8 +356,7 @@ def pairs_on_page(rows: list[tuple], width: float, reach: float = 0.5, below: fl
             chain.append(min(under, key=lambda j: (rows[j][3][1], j)))
         for j in chain:
             out[j] = i
-            used.add(j)
-        used.add(i)
+            used |= {i, j}
     return out
 
 
