@@ -10,9 +10,20 @@ LOOKALIKE_FROM, LOOKALIKE_TO, REPAIRED = "OoQDIl|ZSB", "0000111258", "read a let
 # Shapes of dates and of what may trail them.
 ISO, NUMERIC, NAMED = r"(\d{4})-(\d{1,2})-(\d{1,2})", r"(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})", r"([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})"
 TIME = r"(?i),?\s+\d{1,2}:\d{2}(?::\d{2})?\s*(?:[ap]\.?\s?m\.?)?\s*$"
-MONTHS = "January February March April May June July August September October November December"
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 # Names of states and territories, and their codes.
-STATES = "Alabama AL, Alaska AK, Arizona AZ, Arkansas AR, California CA, Colorado CO, Connecticut CT, Delaware DE, District of Columbia DC, Florida FL, Georgia GA, Hawaii HI, Idaho ID, Illinois IL, Indiana IN, Iowa IA, Kansas KS, Kentucky KY, Louisiana LA, Maine ME, Maryland MD, Massachusetts MA, Michigan MI, Minnesota MN, Mississippi MS, Missouri MO, Montana MT, Nebraska NE, Nevada NV, New Hampshire NH, New Jersey NJ, New Mexico NM, New York NY, North Carolina NC, North Dakota ND, Ohio OH, Oklahoma OK, Oregon OR, Pennsylvania PA, Rhode Island RI, South Carolina SC, South Dakota SD, Tennessee TN, Texas TX, Utah UT, Vermont VT, Virginia VA, Washington WA, West Virginia WV, Wisconsin WI, Wyoming WY, Puerto Rico PR, Guam GU, Virgin Islands VI, American Samoa AS, Northern Mariana Islands MP"
+STATES = {
+    "Alabama": "AL", "Alaska": "AK", "Arizona": "AZ", "Arkansas": "AR", "California": "CA", "Colorado": "CO",
+    "Connecticut": "CT", "Delaware": "DE", "District of Columbia": "DC", "Florida": "FL", "Georgia": "GA", "Hawaii": "HI",
+    "Idaho": "ID", "Illinois": "IL", "Indiana": "IN", "Iowa": "IA", "Kansas": "KS", "Kentucky": "KY",
+    "Louisiana": "LA", "Maine": "ME", "Maryland": "MD", "Massachusetts": "MA", "Michigan": "MI", "Minnesota": "MN",
+    "Mississippi": "MS", "Missouri": "MO", "Montana": "MT", "Nebraska": "NE", "Nevada": "NV", "New Hampshire": "NH",
+    "New Jersey": "NJ", "New Mexico": "NM", "New York": "NY", "North Carolina": "NC", "North Dakota": "ND", "Ohio": "OH",
+    "Oklahoma": "OK", "Oregon": "OR", "Pennsylvania": "PA", "Rhode Island": "RI", "South Carolina": "SC", "South Dakota": "SD",
+    "Tennessee": "TN", "Texas": "TX", "Utah": "UT", "Vermont": "VT", "Virginia": "VA", "Washington": "WA",
+    "West Virginia": "WV", "Wisconsin": "WI", "Wyoming": "WY", "Puerto Rico": "PR", "Guam": "GU", "Virgin Islands": "VI",
+    "American Samoa": "AS", "Northern Mariana Islands": "MP",
+}
 
 
 def outcome(ok: Column, value: Column, problem: Column | str, note: Column | None = None) -> Column:
@@ -77,7 +88,7 @@ def phone(raw: Column) -> Column:
 
 
 def state(raw: Column) -> Column:
-    pairs = [x.rsplit(" ", 1) for x in STATES.split(", ")]
+    pairs = STATES.items()
     names = F.create_map(*[F.lit(v) for name, code in pairs for v in (name.lower(), code)])
     codes = [code for _, code in pairs]
     v = F.trim(raw)
@@ -110,7 +121,7 @@ def _day(y: Column, m: Column, d: Column) -> Column:
 
 def _parsed(text: Column, lead: str, tail: str) -> list[tuple[Column, Column]]:
     """(has the shape, day or null) for each shape of a date, in order."""
-    months = MONTHS.split()
+    months = MONTHS
     numbers = F.create_map(*[F.lit(x) for i, m in enumerate(months, 1) for n in dict.fromkeys((m.lower(), m[:3].lower())) for x in (n, str(i))])
     part = lambda shape, i: F.regexp_extract(text, lead + shape + tail, i)
     year = F.when(F.length(part(NUMERIC, 3)) == 2, F.concat(F.lit("20"), part(NUMERIC, 3))).otherwise(part(NUMERIC, 3))
@@ -128,7 +139,7 @@ def date(raw: Column) -> Column:
     whole, inside = _parsed(text, "^", "$"), _parsed(raw, r"(?<!\d)", r"(?!\d)")
     exact = F.coalesce(*[F.when(has, day) for has, day in whole])
     found = F.coalesce(exact, *[F.when(has, day) for has, day in inside])
-    shaped = F.coalesce(whole[0][0] | whole[1][0], F.lit(False)) | F.coalesce(F.lower(F.regexp_extract(text, f"^{NAMED}$", 1)).isin([n for m in MONTHS.lower().split() for n in (m, m[:3])]), F.lit(False))
+    shaped = F.coalesce(whole[0][0] | whole[1][0], F.lit(False)) | F.coalesce(F.lower(F.regexp_extract(text, f"^{NAMED}$", 1)).isin([n for m in map(str.lower, MONTHS) for n in (m, m[:3])]), F.lit(False))
     return outcome(found.isNotNull(), found, F.when(shaped, "impossible date").otherwise("unrecognized date"), F.when(exact.isNull(), "text around the date ignored"))
 
 
