@@ -10,6 +10,8 @@ from pagelake.functions.text import alnum_key
 
 # The threshold a key starts from, the accuracy aimed at and the labels a key needs.
 DEFAULT_THRESHOLD, TARGET, LEAST_LABELS = 0.80, 0.95, 20
+#: Bins of confidence whose totals are summed before rows are ordered.
+BINS = 4096
 
 
 def merged_values(values: DataFrame) -> DataFrame:
@@ -28,22 +30,33 @@ def merged_values(values: DataFrame) -> DataFrame:
     return out.select("case_id", "key", "value", "confidence", "documents", F.coalesce("alternatives", F.array().cast("array<string>")).alias("alternatives"), F.when(F.col("n") > 1, "documents disagree").alias("problem"))
 
 
+def _prefixes(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """rows: keys, confidence, good, n. Adds share and seen of every prefix of a key by falling confidence. Totals of BINS bins of confidence
+    are summed first, so a window orders the rows of one bin of one key, and the window over a key sees BINS + 1 rows at most."""
+    place = F.least(F.greatest(F.col("confidence") * BINS, F.lit(0.0)), F.lit(float(BINS)))  # values beyond 0 to 1 and NaN fall into the end bins
+    binned = rows.withColumn("_bin", F.floor(place))
+    totals = binned.groupBy(*keys, "_bin").agg(F.sum("good").alias("_g"), F.sum("n").alias("_n"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "_bin", F.coalesce(F.sum("_g").over(above), F.lit(0)).alias("_g"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
+    x, y, on = binned.alias("x"), before.alias("y"), F.lit(True)
+    for k in [*keys, "_bin"]:
+        on = on & F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
+    w = Window.partitionBy(*[F.col(f"x.{k}") for k in [*keys, "_bin"]]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.col("_n") + F.sum("n").over(w)
+    return x.join(y, on).select("x.*", ((F.col("_g") + F.sum("good").over(w)) / seen).alias("share"), seen.alias("seen"))
+
+
 def thresholds(feedback: DataFrame) -> DataFrame:
     """feedback: key, confidence, correct, position. A key's threshold is the confidence of the last prefix, by falling confidence,
     whose accuracy reaches the target; keys with few labels take the overall one."""
-    rows = feedback.filter("confidence is not null and correct is not null")
-
-    def lowest(frame: DataFrame, keys: list[str]) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(F.desc("confidence"), "position").rowsBetween(Window.unboundedPreceding, 0)
-        run = frame.withColumn("share", F.avg(F.col("correct").cast("double")).over(w)).withColumn("n", F.count("*").over(w))
-        return run.groupBy(*keys).agg(F.coalesce(F.max_by("confidence", F.when(F.col("share") >= TARGET, F.col("n"))), F.lit(DEFAULT_THRESHOLD)).alias("threshold"), F.count("*").alias("labels"))
-
-    # the overall curve is pre-aggregated by confidence, so the one ordered pass sees distinct confidences
-    curve = rows.groupBy("confidence").agg(F.sum(F.col("correct").cast("long")).alias("good"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
-    overall = curve.withColumn("share", F.sum("good").over(w) / F.sum("n").over(w)).agg(F.min(F.when(F.col("share") >= TARGET, F.col("confidence"))).alias("t"), F.sum("n").alias("all"))
+    rows = feedback.filter("confidence is not null and correct is not null").select("key", "confidence", "position", F.col("correct").cast("long").alias("good"), F.lit(1).cast("long").alias("n"))
+    own = _prefixes(rows, ["key"], [F.desc("confidence"), "position"]).groupBy("key")
+    own = own.agg(F.coalesce(F.max_by("confidence", F.when(F.col("share") >= TARGET, F.col("seen"))), F.lit(DEFAULT_THRESHOLD)).alias("threshold"), F.count("*").alias("labels"))
+    # the overall curve takes equal confidences together
+    curve = _prefixes(rows.groupBy("confidence").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), [], [F.desc("confidence")])
+    overall = curve.agg(F.min(F.when(F.col("share") >= TARGET, F.col("confidence"))).alias("t"), F.sum("n").alias("all"))
     overall = overall.select(F.when(F.col("all") >= LEAST_LABELS, F.coalesce("t", F.lit(DEFAULT_THRESHOLD))).otherwise(F.lit(DEFAULT_THRESHOLD)).alias("overall"))
-    per = lowest(rows, ["key"]).crossJoin(F.broadcast(overall))  # one row
+    per = own.crossJoin(F.broadcast(overall))  # one row
     return per.select("key", F.when(F.col("labels") >= LEAST_LABELS, F.col("threshold")).otherwise(F.col("overall")).alias("threshold"), "labels")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,26 +18,41 @@ def queue_depth(tickets: DataFrame) -> DataFrame:
     return log.withColumn("inside", F.sum("step").over(w)).filter("ticket is not null").select("queue", "ticket", F.greatest(F.col("inside") - 1, F.lit(0)).alias("ahead"))
 
 
+def _replayed(log: DataFrame, key: str, columns: list[str], fresh: Callable[[], object], step: Callable, out: dict[str, str]) -> DataFrame:
+    """Rows in order of key, at and id, batch by batch: ``step(state, *columns)`` gives a row's results, and the state goes from batch to
+    batch until the key changes. A task holds one batch and one state, however long a log is; null keys are one log."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), None
+        for b in batches:
+            results = []
+            for k, *row in zip(b[key], *(b[c] for c in columns)):
+                k = None if pd.isna(k) else k
+                if k != last:
+                    last, state = k, fresh()
+                results.append(step(state, *row))
+            yield pd.concat([b[[key, "id"]].reset_index(drop=True), pd.DataFrame(results, columns=list(out))], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema}
+    names = list(dict.fromkeys([key, "id", "at", *columns]))
+    schema = ", ".join([f"{key} {kinds[key]}", f"id {kinds['id']}", *(f"{n} {t}" for n, t in out.items())])
+    return log.select(*names).repartition(key).sortWithinPartitions(key, "at", "id").mapInPandas(run, schema)
+
+
 def admissions(arrivals: DataFrame, limit: int) -> DataFrame:
-    """arrivals (gate, id, at, seconds): replay of a bounded gate; refused arrivals hold no place. One group is a gate's log, read in
-    order with a heap of the ends, so it holds ``limit`` ends at most."""
+    """arrivals (gate, id, at, seconds): replay of a bounded gate; refused arrivals hold no place. The state is a heap of ``limit`` ends at
+    most."""
     import heapq
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["at", "id"])
-        ends: list[float] = []
-        out = []
-        for at, seconds in zip(g["at"], g.seconds):
-            while ends and ends[0] <= at:
-                heapq.heappop(ends)
-            out.append(len(ends) < limit)
-            if out[-1]:
-                heapq.heappush(ends, at + seconds)
-        g["admitted"] = out
-        return g[["gate", "id", "admitted"]]
+    def step(ends: list[float], at: float, seconds: float) -> tuple[bool]:
+        while ends and ends[0] <= at:
+            heapq.heappop(ends)
+        admitted = len(ends) < limit
+        if admitted:
+            heapq.heappush(ends, at + seconds)
+        return (admitted,)
 
-    kinds = {f.name: f.dataType.simpleString() for f in arrivals.schema}
-    return arrivals.groupBy("gate").applyInPandas(run, f"gate {kinds['gate']}, id {kinds['id']}, admitted boolean")
+    return _replayed(arrivals, "gate", ["at", "seconds"], list, step, {"admitted": "boolean"})
 
 
 def ledger(charges: DataFrame, reserve: float, budget: float) -> DataFrame:
@@ -48,32 +65,24 @@ def ledger(charges: DataFrame, reserve: float, budget: float) -> DataFrame:
 
 def cache_replay(requests: DataFrame, most_bytes: int, ttl: float) -> DataFrame:
     """requests (cache, id, at, key, size): hit or miss of a cache bounded in bytes that drops the least recently used and what is older
-    than ``ttl``; an entry above the bound isn't kept. One group is a cache's log; the state holds what the cache holds."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["at", "id"])
-        held: dict = {}
-        total, out = 0, []
-        for at, key, size in zip(g["at"], g.key, g["size"]):
-            entry = held.pop(key, None)
-            hit = entry is not None and at - entry[0] <= ttl
-            evicted = 0
-            if hit:
-                held[key] = entry
-            else:
-                total -= entry[1] if entry else 0
-                if size <= most_bytes:
-                    held[key] = (at, size)
-                    total += size
-                while total > most_bytes:
-                    total -= held.pop(next(iter(held)))[1]
-                    evicted += 1
-            out.append((hit, evicted))
-        g["hit"], g["evicted"] = zip(*out)
-        return g[["cache", "id", "hit", "evicted"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
-    return requests.groupBy("cache").applyInPandas(run, f"cache {kinds['cache']}, id {kinds['id']}, hit boolean, evicted int")
+    than ``ttl``; an entry above the bound isn't kept. The state is what the cache holds."""
+
+    def step(state: list, at: float, key, size: int) -> tuple[bool, int]:
+        held, entry = state[0], state[0].pop(key, None)
+        hit, evicted = entry is not None and at - entry[0] <= ttl, 0
+        if hit:
+            held[key] = entry
+            return hit, evicted
+        state[1] -= entry[1] if entry else 0
+        if size <= most_bytes:
+            held[key] = (at, size)
+            state[1] += size
+        while state[1] > most_bytes:
+            state[1] -= held.pop(next(iter(held)))[1]
+            evicted += 1
+        return hit, evicted
+
+    return _replayed(requests, "cache", ["at", "key", "size"], lambda: [{}, 0], step, {"hit": "boolean", "evicted": "int"})
 
 
 def evicted_by_size(entries: DataFrame, most_bytes: int) -> DataFrame:

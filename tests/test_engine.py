@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import duckdb
 import pytest
@@ -110,6 +111,55 @@ def test_consolidation(spark):
     assert t["k"] == pytest.approx(0.76) and 0 < t["few"] < 1
 
 
+def test_thresholds_against_a_plain_walk(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.random(), 0.5, 1.0, 0.0, -0.2, 1.7]), rng.random() < 0.93, i) for i in range(900)] + [("c", 0.9, True, 1000), ("d", None, True, 1001)]
+    rows += [("e", 0.99 - i / 1000, i != 12, 2000 + i) for i in range(30)]
+
+    def walk(some, whole):
+        best, good = consolidate.DEFAULT_THRESHOLD, 0
+        some = sorted(some, key=lambda r: (-r[1], r[3]))
+        for n, r in enumerate(some, 1):
+            good += r[2]
+            if good / n >= consolidate.TARGET and not (whole and n < len(some) and some[n][1] == r[1]):
+                best = r[1]
+        return best
+
+    known = [r for r in rows if r[1] is not None]
+    overall, want = walk(known, True), {}
+    for k in {r[0] for r in known}:
+        mine = [r for r in known if r[0] == k]
+        want[k] = (walk(mine, False) if len(mine) >= consolidate.LEAST_LABELS else overall, len(mine))
+    f = spark.createDataFrame(rows, "key string, confidence double, correct boolean, position long")
+    assert {r.key: (r.threshold, r.labels) for r in consolidate.thresholds(f).collect()} == want
+    assert consolidate.thresholds(f.limit(0)).count() == 0
+
+
+def test_quiet_documents_end(spark, tmp_path):
+    # such a stream runs batches without data too, so its end can't be awaited
+    columns, source = "document_id string, page_number int, payload string", str(tmp_path / "in")
+
+    def add(*rows):
+        spark.createDataFrame(list(rows), columns).coalesce(1).write.mode("append").parquet(source)
+
+    def waits(*rows):
+        until = time.time() + 40
+        while sorted(tuple(r) for r in spark.table("quiet_pages").collect()) != sorted(rows):
+            assert q.isActive and time.time() < until, spark.table("quiet_pages").collect()
+            time.sleep(0.2)
+
+    add(("d", 1, "a"), ("d", 4, "d"), ("d", 3, "c"))
+    pages = ordered.ordered_pages(spark.readStream.schema(columns).parquet(source), "4 seconds")
+    q = pages.writeStream.format("memory").queryName("quiet_pages").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        ended = [("d", 1, "a"), ("d", 3, "c"), ("d", 4, "d")]
+        waits(*ended)
+        add(("d", 1, "A"), ("d", 2, "b"))
+        waits(*ended, ("d", 1, "A"), ("d", 2, "b"))
+    finally:
+        q.stop()
+
+
 def test_streams(spark, tmp_path):
     pages = [("d", 2, "b"), ("d", 1, "a"), ("d", 4, "d"), ("d", 3, "c"), ("e", 2, "x")]
     for i in range(0, len(pages), 2):

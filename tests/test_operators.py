@@ -194,6 +194,36 @@ def test_review_and_replays(spark):
     assert {x.region_id: x.resolution for x in evaluate.foreign_scripts(s).collect()} == {"a": "resolved", "b": "conflicting", "c": "resolved"}
 
 
+def test_replays_go_on_from_batch_to_batch(spark):
+    """The state must outlast Arrow's batches, and null keys are one log."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", None, "b"]), i, float(rng.randint(0, 300)), rng.choice("xyzw"), rng.randint(1, 6)) for i in range(400)]
+
+    def plain(log):
+        held, out = [], {}
+        for _, i, at, k, size in sorted(log, key=lambda r: (r[2], r[1])):
+            old = [h for h in held if h[0] == k]
+            hit = bool(old) and at - old[0][1] <= 20
+            held = [h for h in held if h[0] != k] + (old if hit else [(k, at, size)])
+            n = len(held)
+            while sum(h[2] for h in held) > 9:
+                held = held[1:]
+            out[i] = (hit, n - len(held))
+        return out
+
+    want = {}
+    for key in ("a", None, "b"):
+        want |= plain([r for r in rows if r[0] == key])
+    log = spark.createDataFrame(rows, "cache string, id int, at double, key string, size int")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {r.id: (r.hit, r.evicted) for r in queues.cache_replay(log, 9, 20.0).collect()} == want
+        assert queues.cache_replay(log.limit(0), 9, 20.0).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_stages_and_arrangement(spark):
     from pagelake.operators import stages
 
