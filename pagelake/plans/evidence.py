@@ -215,7 +215,11 @@ def numbered_groups(x):
     return evaluate.merged_groups(x, ["role"]).select("case_id", "role", "value", "readings", "number")
 
 
-@query({"x": "SELECT conv_id AS document_id, 1 AS page_number, turn AS region_id, turn AS reading_order, 'text' AS kind, text, 'resolved' AS resolution, FALSE AS from_pdf FROM conversations"})
+@query({"x": "SELECT conv_id AS document_id, 1 AS page_number, turn AS region_id, turn AS reading_order, CASE WHEN turn % 7 = 0 THEN 'formula' ELSE 'text' END AS kind, concat(text, CASE (conv_id + turn) % 5 WHEN 1 THEN repeat('дом', length(text)) WHEN 2 THEN ' 漢字' WHEN 3 THEN ' αβγ' ELSE '' END) AS text, CASE WHEN conv_id % 6 = 0 THEN 'unreadable' ELSE 'resolved' END AS resolution, conv_id % 4 = 0 AS from_pdf FROM conversations"},
+       """, s AS (SELECT document_id, region_id, reading_order, unnest([{'s': 'LATIN', 'n': len(regexp_extract_all(text, '\\p{Latin}'))}, {'s': 'CYRILLIC', 'n': len(regexp_extract_all(text, '\\p{Cyrillic}'))}, {'s': 'CJK', 'n': len(regexp_extract_all(text, '\\p{Han}'))}]) AS e FROM x WHERE kind <> 'formula'),
+h AS (SELECT document_id, region_id, reading_order, e.s AS script, e.n AS n FROM s WHERE e.n > 0), m AS (SELECT document_id, script, row_number() OVER (PARTITION BY document_id ORDER BY sum(n) DESC, min(reading_order), script DESC) AS k FROM h GROUP BY document_id, script),
+o AS (SELECT h.document_id, h.region_id, string_agg(DISTINCT h.script, ',' ORDER BY h.script) AS f FROM h JOIN m ON h.document_id = m.document_id AND m.k = 1 AND h.script <> m.script GROUP BY ALL)
+SELECT x.document_id, x.region_id, CASE WHEN f IS NOT NULL AND NOT from_pdf AND resolution <> 'unreadable' THEN 'conflicting' ELSE resolution END AS resolution, CASE WHEN NOT from_pdf AND resolution <> 'unreadable' THEN f END AS foreign FROM x LEFT JOIN o ON x.document_id = o.document_id AND x.region_id = o.region_id""")
 def foreign_scripts(x):
     return evaluate.foreign_scripts(x.withColumn("scripts", A.script_letters("text"))).select("document_id", "region_id", "resolution", F.array_join("foreign", ",").alias("foreign"))
 

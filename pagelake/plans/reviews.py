@@ -18,7 +18,7 @@ def query(fixtures: dict[str, str], oracle: str | None = None):
 
         QUERIES[f.__name__] = run
         if oracle:
-            ORACLES[f.__name__] = "WITH " + ", ".join(f"{n} AS ({sql})" for n, sql in fixtures.items()) + " " + oracle
+            ORACLES[f.__name__] = "WITH RECURSIVE " + ", ".join(f"{n} AS ({sql})" for n, sql in fixtures.items()) + " " + oracle
         return f
 
     return add
@@ -123,9 +123,13 @@ def queue_depth(x):
     return queues.queue_depth(x)
 
 
-@query({"x": "SELECT user_id AS gate, event_id AS id, event_id * 1.0 AS at, 700.0 AS seconds FROM events"})
+# the oracles step through the k-th rows of all logs at once, a list of ends or entries beside each
+@query({"x": "SELECT user_id AS gate, event_id AS id, event_id * 1.0 AS moment, 700.0 AS seconds FROM events"}, """, n AS (SELECT gate, id, CAST(moment AS DOUBLE) AS m, CAST(seconds AS DOUBLE) AS s, row_number() OVER (PARTITION BY gate ORDER BY moment, id) AS k FROM x),
+s AS (SELECT gate, id, k, true AS admitted, [m + s] AS ends FROM n WHERE k = 1 UNION ALL
+SELECT n.gate, n.id, n.k, len(list_filter(r.ends, lambda e: e > m)) < 3, CASE WHEN len(list_filter(r.ends, lambda e: e > m)) < 3 THEN list_append(list_filter(r.ends, lambda e: e > m), m + s) ELSE list_filter(r.ends, lambda e: e > m) END FROM n JOIN s AS r ON n.gate = r.gate AND n.k = r.k + 1)
+SELECT gate, id, admitted FROM s""")
 def admissions(x):
-    return queues.admissions(x.select("gate", "id", F.col("at").cast("double").alias("at"), F.col("seconds").cast("double").alias("seconds")), 3)
+    return queues.admissions(x.select("gate", "id", F.col("moment").cast("double").alias("at"), F.col("seconds").cast("double").alias("seconds")), 3)
 
 
 @query({"x": "SELECT o_custkey AS ledger, o_orderkey AS id, CASE WHEN o_orderkey % 4 > 0 THEN o_totalprice / 10000 END AS actual FROM orders"}, "SELECT ledger, id, round(coalesce(sum(coalesce(actual, 0.25)) OVER w, 0), 6) AS spent_before, coalesce(sum(coalesce(actual, 0.25)) OVER w, 0) + 0.25 <= 80 AS fits FROM x WINDOW w AS (PARTITION BY ledger ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -133,9 +137,14 @@ def spend_ledger(x):
     return queues.ledger(x, 0.25, 80.0)
 
 
-@query({"x": "SELECT user_id AS cache, event_id AS id, event_id AS at, event_type AS key, length(props) AS size FROM events"})
+@query({"x": "SELECT user_id AS cache, event_id AS id, event_id AS moment, event_type AS kind, length(props) AS bytes FROM events"}, """, n AS (SELECT *, row_number() OVER (PARTITION BY cache ORDER BY moment, id) AS k FROM x),
+s AS (SELECT cache, 0 AS k, CAST(NULL AS BIGINT) AS id, false AS hit, 0 AS evicted, CAST([] AS STRUCT(kind VARCHAR, since BIGINT, bytes BIGINT)[]) AS held FROM n WHERE k = 1 UNION ALL
+SELECT cache, k, id, hit, len(now) - len(left_), left_ FROM (SELECT *, list_filter(now, lambda e, i: list_sum(list_transform(now[i:], lambda f: f.bytes)) <= 20) AS left_ FROM (
+SELECT *, CASE WHEN hit THEN list_concat(others, list_filter(held, lambda e: e.kind = kind)) WHEN bytes <= 20 THEN list_append(others, {'kind': kind, 'since': CAST(moment AS BIGINT), 'bytes': CAST(bytes AS BIGINT)}) ELSE others END AS now FROM (
+SELECT n.*, r.held, list_filter(r.held, lambda e: e.kind <> n.kind) AS others, len(list_filter(r.held, lambda e: e.kind = n.kind AND n.moment - e.since <= 2000)) > 0 AS hit FROM n JOIN s AS r ON n.cache = r.cache AND n.k = r.k + 1) a) b) c)
+SELECT cache, id, hit, CAST(evicted AS INT) AS evicted FROM s WHERE k > 0""")
 def cache_replay(x):
-    return queues.cache_replay(x, 20, 2000.0)
+    return queues.cache_replay(x.withColumnsRenamed({"moment": "at", "kind": "key", "bytes": "size"}), 20, 2000.0)
 
 
 @query({"x": "SELECT o_custkey AS cache, o_orderkey AS key, o_orderdate AS last_used, CAST(o_totalprice AS BIGINT) AS size FROM orders"}, ", h AS (SELECT *, sum(size) OVER (PARTITION BY cache ORDER BY last_used DESC, key ROWS UNBOUNDED PRECEDING) AS held FROM x) SELECT cache, key FROM h WHERE held > 500000")

@@ -124,12 +124,21 @@ def page_titles_links(spark, sf_dir):
     return p.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="[^"]*"'), F.lit(0))).cast("long").alias("links"))
 
 
-@query()
+@query("""SELECT l_orderkey, CAST(count(*) + 1 AS INT) AS row_count, 3 AS column_count, CAST(0 AS BIGINT) AS overlaps, CAST(CASE WHEN l_orderkey % 3 = 1 THEN 1 ELSE 0 END AS BIGINT) AS gaps, l_orderkey % 3 <> 1 AS valid FROM lineitem GROUP BY l_orderkey""")
 def html_cell_grid(spark, sf_dir):
-    """Order lines as HTML tables, read back into grids: parse, topology and rendering."""
+    """Order lines as HTML tables, read back into grids. In every fifth order the first cell spans all lines, in every third the last line
+    lacks its last cell; the oracle says what grids these are."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus"))).alias("ls"))
-    body = F.array_join(F.transform("ls", lambda x: F.concat(F.lit("<tr><td>"), x["l_linenumber"].cast("string"), F.lit("</td><td>"), x["l_returnflag"], F.lit("</td><td>"), x["l_linestatus"], F.lit("</td></tr>"))), "")
-    html = rows.select("l_orderkey", F.concat(F.lit("<table><tr><th>line</th><th colspan=2>flags</th></tr>"), body, F.lit("</table>")).alias("html"))
+    n, key = F.size("ls"), F.col("l_orderkey")
+
+    def line(x, i):
+        cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+        whole = F.when(i == 0, F.concat(F.lit("<td rowspan="), n.cast("string"), F.lit(">all</td>"))).otherwise("")
+        first = F.when(key % 5 == 0, whole).otherwise(cell(x["l_linenumber"].cast("string")))
+        last = F.when((key % 3 == 1) & (i == n - 1), "").otherwise(cell(x["l_linestatus"]))
+        return F.concat(F.lit("<tr>"), first, cell(x["l_returnflag"]), last, F.lit("</tr>"))
+
+    html = rows.select("l_orderkey", F.concat(F.lit("<table><tr><th>line</th><th colspan=2>flags</th></tr>"), F.array_join(F.transform("ls", line), ""), F.lit("</table>")).alias("html"))
     return tables.topology(tables.cells_of(html, "l_orderkey", "html"), "l_orderkey")
 
 

@@ -63,9 +63,17 @@ def reading_order(spark, sf_dir):
     return layout.with_orders(b).select("document_id", "page_number", "region_id", "cut_rank", "banded_rank", "line")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT p_brand AS d, p_size % 5 AS p, p_partkey AS id, p_partkey * 37 % 300 AS l, p_partkey * 53 % 60 AS t, p_partkey * 37 % 300 + 60 AS r, p_partkey * 53 % 60 + 40 AS u, p_partkey * 7919 % 1000 / 1000 AS score FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY d, p ORDER BY score DESC, id) AS k FROM b),
+s AS (SELECT d, p, k, id, score, true AS kept, [{'l': l, 't': t, 'r': r, 'u': u}] AS boxes FROM n WHERE k = 1 UNION ALL
+SELECT d, p, k, id, score, fits, CASE WHEN fits THEN list_append(boxes, {'l': l, 't': t, 'r': r, 'u': u}) ELSE boxes END FROM (
+SELECT n.*, s.boxes, len(list_filter(s.boxes, lambda e: 3 * greatest(0, least(e.r, n.r) - greatest(e.l, n.l)) * greatest(0, least(e.u, n.u) - greatest(e.t, n.t)) >= (e.r - e.l) * (e.u - e.t) + (n.r - n.l) * (n.u - n.t))) = 0 AS fits FROM n JOIN s ON n.d = s.d AND n.p = s.p AND n.k = s.k + 1) q)
+SELECT d AS document_id, p AS page_number, id AS region_id, score FROM s WHERE kept""")
 def kept_detections(spark, sf_dir):
-    return layout.without_overlaps(_boxes(spark, sf_dir)).select("document_id", "page_number", "region_id", "score")
+    k = F.col("region_id")
+    left, top = (k * 37 % 300).cast("double"), (k * 53 % 60).cast("double")
+    crowded = _boxes(spark, sf_dir).withColumns({"page_number": F.col("page_number") % 5, "left": left, "top": top, "right": left + 60, "bottom": top + 40})
+    return layout.without_overlaps(crowded).select("document_id", "page_number", "region_id", "score")
 
 
 @query("""WITH k AS (SELECT p_brand AS d, p_partkey AS id, CAST(p_partkey * 37 % 900 AS DOUBLE) AS l, CAST(p_partkey * 53 % 1100 AS DOUBLE) AS t, CAST(p_partkey * 37 % 900 + 40 + p_partkey % 60 AS DOUBLE) AS r, CAST(p_partkey * 53 % 1100 + 20 + p_partkey % 15 AS DOUBLE) AS b FROM part)
@@ -77,7 +85,14 @@ def words_in_regions(spark, sf_dir):
     return geometry.points_in_boxes(points, boxes, ["document_id"]).select("point", "region")
 
 
-@query()
+@query("""WITH v AS (SELECT o_custkey AS c, o_orderkey AS o, o_orderpriority AS value, lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '', 'g')) AS norm, o_totalprice / 500000 AS p FROM orders),
+f AS (SELECT p, avg(CASE WHEN o % 10 > 0 THEN 1.0 ELSE 0.0 END) OVER w AS share, count(*) OVER w AS n FROM v WINDOW w AS (ORDER BY p DESC, o ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT coalesce(max_by(p, n) FILTER (WHERE share >= 0.95), 0.8) AS threshold FROM f),
+g AS (SELECT c, norm, min_by(value, o) AS value, count(DISTINCT o) AS documents, round(1 - product(1 - p), 4) AS confidence, max(p) AS top, min(o) AS seen FROM v GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY documents DESC, top DESC, seen) AS k, count(*) OVER (PARTITION BY c) AS n FROM g),
+a AS (SELECT c, string_agg(value, '|' ORDER BY k) AS alternatives FROM r WHERE k > 1 GROUP BY c)
+SELECT r.c AS case_id, 'priority' AS "key", value, confidence, documents, coalesce(alternatives, '') AS alternatives, concat_ws('|', CASE WHEN confidence < threshold THEN 'low confidence' END, CASE WHEN n > 1 THEN 'documents disagree' END) AS reasons,
+CASE WHEN confidence < threshold OR n > 1 THEN 'priority_review' ELSE 'quick_verify' END AS route FROM r CROSS JOIN t LEFT JOIN a ON r.c = a.c WHERE k = 1""")
 def case_values(spark, sf_dir):
     """Orders as readings of a customer's values: merged, thresholds applied, routed."""
     o = table(spark, sf_dir, "orders")
