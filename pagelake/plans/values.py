@@ -85,7 +85,7 @@ def words_in_regions(spark, sf_dir):
     return geometry.points_in_boxes(points, boxes, ["document_id"]).select("point", "region")
 
 
-@query("""WITH v AS (SELECT o_custkey AS c, o_orderkey AS o, o_orderpriority AS value, lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '', 'g')) AS norm, o_totalprice / 500000 AS p FROM orders),
+@query("""WITH v AS (SELECT o_custkey AS c, o_orderkey AS o, value, lower(regexp_replace(value, '[^A-Za-z0-9]', '', 'g')) AS norm, o_totalprice / 500000 AS p FROM (SELECT *, CASE WHEN o_custkey % 3 = 0 THEN 'same-value' ELSE o_orderpriority END AS value FROM orders) q),
 f AS (SELECT p, avg(CASE WHEN o % 10 > 0 THEN 1.0 ELSE 0.0 END) OVER w AS share, count(*) OVER w AS n FROM v WINDOW w AS (ORDER BY p DESC, o ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT coalesce(max_by(p, n) FILTER (WHERE share >= 0.95), 0.8) AS threshold FROM f),
 g AS (SELECT c, norm, min_by(value, o) AS value, count(DISTINCT o) AS documents, round(1 - product(1 - p), 4) AS confidence, max(p) AS top, min(o) AS seen FROM v GROUP BY ALL),
@@ -94,9 +94,9 @@ a AS (SELECT c, string_agg(value, '|' ORDER BY k) AS alternatives FROM r WHERE k
 SELECT r.c AS case_id, 'priority' AS "key", value, confidence, documents, coalesce(alternatives, '') AS alternatives, concat_ws('|', CASE WHEN confidence < threshold THEN 'low confidence' END, CASE WHEN n > 1 THEN 'documents disagree' END) AS reasons,
 CASE WHEN confidence < threshold OR n > 1 THEN 'priority_review' ELSE 'quick_verify' END AS route FROM r CROSS JOIN t LEFT JOIN a ON r.c = a.c WHERE k = 1""")
 def case_values(spark, sf_dir):
-    """Orders as readings of a customer's values: merged, thresholds applied, routed."""
+    """Orders as readings of a customer's values, the same one for every third customer: merged, thresholds applied, routed."""
     o = table(spark, sf_dir, "orders")
-    values = o.select(F.col("o_custkey").alias("case_id"), F.lit("priority").alias("key"), F.col("o_orderkey").alias("document_id"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("value"), (F.col("o_totalprice") / 500000).alias("confidence"))
+    values = o.select(F.col("o_custkey").alias("case_id"), F.lit("priority").alias("key"), F.col("o_orderkey").alias("document_id"), F.col("o_orderkey").alias("position"), F.when(F.col("o_custkey") % 3 == 0, "same-value").otherwise(F.col("o_orderpriority")).alias("value"), (F.col("o_totalprice") / 500000).alias("confidence"))
     feedback = values.select("key", "confidence", (F.col("position") % 10 > 0).alias("correct"), "position")
     out = consolidate.routed(consolidate.merged_values(values), consolidate.thresholds(feedback))
     return out.select("case_id", "key", "value", "confidence", "documents", F.array_join("alternatives", "|").alias("alternatives"), F.array_join("reasons", "|").alias("reasons"), "route")
