@@ -41,3 +41,21 @@ def connected(links: DataFrame) -> DataFrame:
         edges = left
     discard(edges)
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (a, b), given labels as ``connected`` returns them.
+
+    Only the components that the new links' ends belong to are joined, so it costs passes over what is new and one over the
+    labels. A node that neither names stays out, as in ``connected``; no links give the labels as they were."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias("en"), F.col("component").alias("ec"))
+        ends = ends.join(of, F.col(end) == F.col("en"), "left").withColumn(end, F.coalesce("ec", end)).drop("en", "ec")
+    above = connected(ends)
+    up = above.select(F.col("node").alias("un"), F.col("component").alias("uc"))
+    moved = labels.join(up, F.col("component") == F.col("un"), "left").select("node", F.coalesce("uc", "component").alias("component"))
+    first = above.join(labels.select(F.col("node").alias("en")), F.col("node") == F.col("en"), "left_anti").select("node", "component")
+    out = materialize(moved.unionByName(first), "cc-labels")
+    discard(above, labels)
+    return out

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import WORD, discard, materialize, shingle_set
-from pagelake.llm.components import connected
+from pagelake.llm.components import connected, extended
 from pagelake.llm.fingerprints import minima, word_hashes
 
 WIDTH = 5
@@ -161,20 +161,20 @@ def _components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     texts = docs.filter("text is not null").join(wanted, F.col("nid") == F.col("node")).select("node", "text")
     texts = materialize(texts, "near-texts")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs; pairs whose estimate is far below the threshold are not looked at."""
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The candidate pairs but for those whose estimate is far below the threshold."""
         pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         x, y = bits.select(F.col("node").alias("xa"), F.col("bits").alias("xb")), bits.select(F.col("node").alias("ya"), F.col("bits").alias("yb"))
-        likely = pairs.join(y, F.col("b") == F.col("ya")).join(x, F.col("a") == F.col("xa")).filter(F.expr(estimate("xb", "yb")) >= percent / 100 - SLACK)
-        return confirmed(likely.select("a", "b"))
+        both = pairs.join(y, F.col("b") == F.col("ya")).join(x, F.col("a") == F.col("xa"))
+        return both.filter(F.expr(estimate("xb", "yb")) >= percent / 100 - SLACK).select("a", "b")
 
-    def confirmed(likely: DataFrame) -> DataFrame:
-        likely = materialize(likely, "near-likely")
-        found = materialize(confirm(likely, texts, width, percent), "near-links")
-        discard(likely)
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "near-likely")
+        found = materialize(confirm(pairs, texts, width, percent), "near-links")
+        discard(pairs)
         return found
 
-    links = compared(member.select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    links = confirmed(likely(member.select(F.col("lead").alias("a"), F.col("node").alias("b"))))
     labels = connected(links)
     measured, done = None, None
     for star in range(1, STARS + 2):
@@ -209,13 +209,12 @@ def _components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         ))
         listed = both.select(F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b"))
         stars = open_.filter("not few").select(F.col("other").alias("a"), F.col("node").alias("b"))
-        more = confirmed(listed.distinct()).unionByName(compared(stars))
+        more = confirmed(listed.unionByName(likely(stars)).distinct())  # one pass over the texts a round
         discard(open_, able, least, several)
         now_done = buckets.filter("few").select(F.col("of").alias("done"))
         done = now_done if done is None else done.unionByName(now_done)
-        links = links.unionByName(more)
         if not more.isEmpty():
-            labels = connected(links)
+            labels = extended(labels, more)
 
     of_class = classes.select("digest", F.col("node")).join(labels.select(F.col("node").alias("ln"), "component"), F.col("node") == F.col("ln"), "left").select(F.col("digest").alias("cd"), F.coalesce("component", "node").alias("component"))
     of_class = materialize(of_class, "near-components")

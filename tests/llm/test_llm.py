@@ -78,17 +78,8 @@ def test_secrets_against_plain_search(spark):
     assert hidden == {0: "a [REDACTED] b", 1: "clean", 2: None}
 
 
-def test_near_duplicates_against_all_pairs(spark):
-    rng = random.Random(5)
-    texts = []
-    for _ in range(12):
-        base = words(rng, rng.randint(30, 90)).split()
-        for _ in range(rng.randint(1, 12)):
-            copy = list(base)
-            for _ in range(rng.randint(0, 5)):
-                copy[rng.randrange(len(copy))] = words(rng, 1)
-            texts.append(" ".join(copy))
-    texts += ["a b", "A B", "", None, texts[0]]
+def plain_components(texts):
+    """The sets of five-word shingles and, by comparing all pairs, the least row of each one's component."""
 
     def shingles(t):
         w = (t or "").lower().split()
@@ -107,9 +98,45 @@ def test_near_duplicates_against_all_pairs(spark):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 top[b] = a
+    return sets, [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = words(rng, rng.randint(30, 90)).split()
+        for _ in range(rng.randint(1, 12)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = words(rng, 1)
+            texts.append(" ".join(copy))
+    texts += ["a b", "A B", "", None, texts[0]]
+    sets, least = plain_components(texts)
     got = {r.doc_id: r for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
     for i in range(len(texts)):
-        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), find(i), find(i) == i)
+        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), least[i], least[i] == i)
+
+
+def test_near_duplicates_star_after_star(spark, monkeypatch):
+    """Families around one long passage fill the same buckets; no bucket is listed before the last star."""
+    monkeypatch.setattr(near_dedup, "PAIRS_A_MEMBER", -1)
+    rng = random.Random(12)
+    passage, texts, stars = words(rng, 80), [], []
+    for _ in range(10):
+        own = words(rng, rng.randint(12, 32)).split()
+        for _ in range(rng.randint(1, 6)):
+            copy = list(own)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = words(rng, 1)
+            texts.append(passage + " " + " ".join(copy))
+    rng.shuffle(texts)
+    sets, least = plain_components(texts)
+    extended = near_dedup.extended
+    monkeypatch.setattr(near_dedup, "extended", lambda labels, links: stars.append(1) or extended(labels, links))
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert {i: got[i].component_id for i in got} == dict(enumerate(least))
+    assert stars and 1 < len(set(least)) < len(texts)
 
 
 def test_rows_without_ids_join_by_text(spark):
@@ -153,8 +180,19 @@ def test_components(spark):
                 seen.add(y), todo.append(y)
         return min(seen)
 
-    got = {r.node: r.component for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: least(x) for a, b in links if a != b for x in (a, b)}
+    def labels(of):
+        return {r.node: r.component for r in of.collect()}
+
+    rows = spark.createDataFrame(links, "a long, b long")
+    want = {x: least(x) for a, b in links if a != b for x in (a, b)}
+    assert labels(components.connected(rows)) == want
+    some = components.connected(spark.createDataFrame(links[:60], "a long, b long"))
+    before = labels(some)
+    more = components.extended(some, spark.createDataFrame(links[60:], "a long, b long"))
+    assert labels(more) == want and before != want
+    assert labels(components.extended(more, rows.limit(0))) == want
+    none = components.connected(rows.limit(0))
+    assert labels(components.extended(none, rows)) == want
 
 
 def test_water_and_knapsack():
