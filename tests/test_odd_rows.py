@@ -1,6 +1,7 @@
 """Queries against their oracles on rows that the test tables lack: equal boxes, long numbers, halves."""
 
 import duckdb
+import pytest
 
 from pagelake import catalog
 from pagelake.operators import matching
@@ -39,3 +40,33 @@ def test_equal_regions_outside_the_frame_stay(spark, tmp_path):
     rows = [("d", 1, i, "a", 0.0, 0.0, 1.0, 1.0) for i in (2, 1)] + [("d", 1, 3, "b", 0.0, 0.0, 1.0, 1.0)]
     frame = spark.createDataFrame(rows, "document_id string, page_number int, region_id int, text string, left double, top double, right double, bottom double")
     assert sorted(r.region_id for r in matching.first_of_equal(frame).collect()) == [1, 3]
+
+
+
+def rows_of_joins(spark, tmp_path, name, **tables):
+    """The differences of a query and the most rows that any of its joins made."""
+    seen = []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        both = differences(spark, tmp_path, name, **tables)
+        frame = catalog.QUERIES[name](spark, str(tmp_path))
+        execution = frame._jdf.queryExecution()
+        execution.executedPlan().execute().count()
+        todo = [execution.executedPlan()]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.nodeName():
+                seen.append(node.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return both, max(seen)
+
+
+@pytest.mark.parametrize("name", ["chosen_tables"])
+def test_equal_boxes_are_compared_once(spark, tmp_path, name):
+    """Sixty copies of each of 50 boxes: pairs of boxes are few, pairs of rows 3,600 times as many."""
+    copies = f"SELECT * REPLACE (p_partkey % 50 + p_partkey // 50 * 1800 AS p_partkey) FROM ({PARTS.format(3000)})"
+    part = f"SELECT * REPLACE ('Brand#' || p_partkey % 1800 % 2 // 2 AS p_brand) FROM ({copies})"
+    both, most = rows_of_joins(spark, tmp_path, name, part=part)
+    assert both == [[], []] and most <= 3000
