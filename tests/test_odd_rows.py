@@ -70,3 +70,11 @@ def test_equal_boxes_are_compared_once(spark, tmp_path, name):
     part = f"SELECT * REPLACE ('Brand#' || p_partkey % 1800 % 2 // 2 AS p_brand) FROM ({copies})"
     both, most = rows_of_joins(spark, tmp_path, name, part=part)
     assert both == [[], []] and most <= 3000
+
+
+@pytest.mark.parametrize("name", ["owned_labels"])
+def test_pairs_of_equal_boxes(spark, tmp_path, name):
+    """More copies of a box than a piece holds; every pair of them is there."""
+    copies = f"SELECT * REPLACE (p_partkey % 12 + p_partkey // 12 * 1800 AS p_partkey) FROM ({PARTS.format(3600)})"
+    both, most = rows_of_joins(spark, tmp_path, name, part=copies)
+    assert both == [[], []] and most <= 3600
