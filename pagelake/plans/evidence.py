@@ -118,8 +118,8 @@ def chosen_tables(a, z, c):
 
 @query({"a": boxes("region_id", "p_partkey % 2 = 0"), "z": boxes("region_id", "p_partkey % 2 = 1", step=41)}, f"SELECT a.region_id, 'sliced' AS rule FROM a WHERE NOT EXISTS (SELECT 1 FROM z WHERE {same_page('a', 'z')} AND {smaller('a', 'z')} >= 0.5) UNION ALL SELECT a.region_id, 'unequal' FROM a WHERE NOT EXISTS (SELECT 1 FROM z WHERE {same_page('a', 'z')} AND {iou('a', 'z')} > 0.2)")
 def uncovered_controls(a, z):
-    one = matching.not_covered(a, z, "region_id").select("region_id", F.lit("sliced").alias("rule"))
-    return one.unionByName(matching.without_equal(a, z, "region_id", 0.2).select("region_id", F.lit("unequal").alias("rule")))
+    one = matching.not_covered(a, z).select("region_id", F.lit("sliced").alias("rule"))
+    return one.unionByName(matching.without_equal(a, z, 0.2).select("region_id", F.lit("unequal").alias("rule")))
 
 
 @query({"o": boxes("label_id", "p_partkey % 2 = 0", "CASE WHEN p_size % 2 = 0 THEN 'picture' ELSE 'text' END AS label"), "n": boxes("label_id", "p_partkey % 2 = 1", "CASE WHEN p_size % 5 = 0 THEN 'form' ELSE 'text' END AS label", 41)},

@@ -72,7 +72,7 @@ def test_equal_boxes_are_compared_once(spark, tmp_path, name):
     assert both == [[], []] and most <= 3000
 
 
-@pytest.mark.parametrize("name", ["owned_labels"])
+@pytest.mark.parametrize("name", ["owned_labels", "same_controls"])
 def test_pairs_of_equal_boxes(spark, tmp_path, name):
     """More copies of a box than a piece holds; every pair of them is there."""
     copies = f"SELECT * REPLACE (p_partkey % 12 + p_partkey // 12 * 1800 AS p_partkey) FROM ({PARTS.format(3600)})"
