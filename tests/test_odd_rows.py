@@ -63,7 +63,7 @@ def rows_of_joins(spark, tmp_path, name, **tables):
     return both, max(seen)
 
 
-@pytest.mark.parametrize("name", ["chosen_tables", "kept_labels", "grown_tables", "contained_table_rows", "placed_options"])
+@pytest.mark.parametrize("name", ["chosen_tables", "kept_labels", "grown_tables", "contained_table_rows", "placed_options", "uncovered_controls"])
 def test_equal_boxes_are_compared_once(spark, tmp_path, name):
     """Sixty copies of each of 50 boxes: pairs of boxes are few, pairs of rows 3,600 times as many."""
     copies = f"SELECT * REPLACE (p_partkey % 50 + p_partkey // 50 * 1800 AS p_partkey) FROM ({PARTS.format(3000)})"
