@@ -63,21 +63,51 @@ def union_of(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], how: str = "inner", cell: int = 256) -> DataFrame:
-    """Joins points (keys, x, y) to the boxes (keys, left, top, right, bottom) that hold them, by grid cells, so that a page with
-    many boxes is an equi join with a residual and never a nested loop. A point lies in one cell: no row comes twice."""
-    spread = boxes.withColumn("gx", F.explode(F.sequence(F.floor(F.col("left") / cell), F.floor(F.col("right") / cell))))
-    spread = spread.withColumn("gy", F.explode(F.sequence(F.floor(F.col("top") / cell), F.floor(F.col("bottom") / cell))))
-    at = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-    p, b = at.alias("p"), spread.alias("b")
-    on = (F.col("p.gx") == F.col("b.gx")) & (F.col("p.gy") == F.col("b.gy")) & F.col("p.x").between(F.col("b.left"), F.col("b.right")) & F.col("p.y").between(F.col("b.top"), F.col("b.bottom"))
-    for k in keys:
-        on = on & (F.col(f"p.{k}") == F.col(f"b.{k}"))
-    joined = p.join(b, on, how)
+def side_level(size: Column) -> Column:
+    """The least n, 0 or more, whose power of two is no less than the size (or one more, where a logarithm is not exact)."""
+    return F.ceil(F.log2(F.greatest(size.cast("double"), F.lit(1.0)))).cast("int")
+
+
+def level_cell(at: Column, level: Column) -> Column:
+    """The cell of a coordinate on a level; its cells are half its power of two wide, so that a side covers three at most."""
+    return F.floor(at.cast("double") / F.pow(F.lit(2.0), level - 1)).cast("long")
+
+
+CELLS = ["_lx", "_ly", "_gx", "_gy"]
+
+
+def spread_boxes(boxes: DataFrame) -> DataFrame:
+    """Every box once for each cell that it meets, on the level of its width and that of its height."""
+    span = lambda low, high, level: F.explode(F.sequence(level_cell(F.col(low), F.col(level)), level_cell(F.col(high), F.col(level))))
+    sized = boxes.filter("right >= left and bottom >= top").withColumn("_lx", side_level(F.col("right") - F.col("left"))).withColumn("_ly", side_level(F.col("bottom") - F.col("top")))
+    return sized.withColumn("_gx", span("left", "right", "_lx")).withColumn("_gy", span("top", "bottom", "_ly"))
+
+
+def box_levels(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The levels (_lx, _ly) of a key's boxes."""
+    sized = boxes.filter("right >= left and bottom >= top")
+    return sized.select(*keys, side_level(F.col("right") - F.col("left")).alias("_lx"), side_level(F.col("bottom") - F.col("top")).alias("_ly")).distinct()
+
+
+def at_levels(points: DataFrame, levels: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Every point once for each level, with its cell there."""
+    return points.join(levels, keys).withColumn("_gx", level_cell(F.col(x), F.col("_lx"))).withColumn("_gy", level_cell(F.col(y), F.col("_ly")))
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins points (keys, x, y) to the boxes (keys, left, top, right, bottom) that hold them, by grid cells of the boxes' own sizes, so
+    that a page with many boxes is an equi join with a residual and never a nested loop. A point lies in one cell of each level: no row
+    comes twice. Both sides are dealt by cell: they outgrow the files that they come from, by whose size a join would be broadcast."""
     if how in ("left_semi", "left_anti"):
-        return joined.drop("gx", "gy")
+        at = points.select(*keys, "x", "y").distinct()
+        held = points_in_boxes(at, boxes.select(*keys, *SIDES).distinct(), keys).select(*keys, "x", "y").distinct()
+        return points.join(held, [*keys, "x", "y"], how).select(points.columns)
+    p, b = at_levels(points, box_levels(boxes, keys), keys).alias("p"), spread_boxes(boxes).alias("b")
+    on = F.col("p.x").between(F.col("b.left"), F.col("b.right")) & F.col("p.y").between(F.col("b.top"), F.col("b.bottom"))
+    for k in [*keys, *CELLS]:
+        on = on & (F.col(f"p.{k}") == F.col(f"b.{k}"))
     keep = [F.col(f"p.{c}") for c in points.columns] + [F.col(f"b.{c}") for c in boxes.columns if c not in points.columns]
-    return joined.select(*keep)
+    return p.join(b.hint("merge"), on).select(*keep)
 
 
 def moved(b, dx: Column, dy: Column) -> list[Column]:

@@ -1,9 +1,12 @@
 """Queries against their oracles on rows that the test tables lack: equal boxes, long numbers, halves."""
 
+import random
+
 import duckdb
 import pytest
 
 from pagelake import catalog
+from pagelake.functions import geometry as G
 from pagelake.operators import matching
 
 
@@ -78,3 +81,17 @@ def test_pairs_of_equal_boxes(spark, tmp_path, name):
     copies = f"SELECT * REPLACE (p_partkey % 12 + p_partkey // 12 * 1800 AS p_partkey) FROM ({PARTS.format(3600)})"
     both, most = rows_of_joins(spark, tmp_path, name, part=copies)
     assert both == [[], []] and most <= 3600
+
+
+def test_points_meet_boxes_in_cells_of_their_size(spark):
+    rng = random.Random(8)
+    at = lambda: (float(rng.randint(0, 250)), float(rng.randint(0, 250)))
+    boxes = [("d", i, x, y, x + w, y + h) for i in range(400) for (x, y), (w, h) in [(at(), (rng.choice((0, 2, 4, 200)), rng.choice((-1, 1, 3, 64))))]]
+    points = [("d", i, *at()) for i in range(400)]
+    b = spark.createDataFrame(boxes, "d string, box int, left double, top double, right double, bottom double")
+    p = spark.createDataFrame(points, "d string, point int, x double, y double")
+    want = sorted((q[1], r[1]) for q in points for r in boxes if r[2] <= q[2] <= r[4] and r[3] <= q[3] <= r[5])
+    assert sorted((r.point, r.box) for r in G.points_in_boxes(p, b, ["d"]).collect()) == want
+    assert sorted(r.point for r in G.points_in_boxes(p, b, ["d"], "left_anti").collect()) == sorted({q[1] for q in points} - {q for q, _ in want})
+    spread, cells = G.spread_boxes(b), G.at_levels(p, G.box_levels(b, ["d"]), ["d"])
+    assert cells.join(spread, ["d", *G.CELLS]).count() < 0.3 * len(boxes) * len(points)
