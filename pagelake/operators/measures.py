@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelake.functions import geometry as G
+
 
 def _named(names: str | list[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
@@ -207,6 +209,30 @@ def smallest_holder(rows: DataFrame, holders: DataFrame, keys: list[str], key: s
     return met.groupBy(key).agg(F.min_by("holder", F.struct("a", "holder")).alias("holder"))
 
 
+def similar_boxes(rows: DataFrame, keys: list[str], key: str, least: float) -> DataFrame:
+    """Pairs (a, b) of a page's boxes, a the lesser key, whose IoU is above ``least`` (at most 0.5), with it.
+
+    Two such boxes share more than ``least`` of the longer side on each axis, so their centres are no further apart than half of both sides
+    less that. The box of the lower level of widths stands in the cell of its centre, the other one in all cells that such centres may have."""
+    c = F.col
+    sized = rows.filter("right > left and bottom > top").select(*keys, key, *G.SIDES, (c("right") - c("left")).alias("_w"), (c("bottom") - c("top")).alias("_h"))
+    sized = sized.withColumn("_lx", G.side_level(c("_w"))).withColumn("_ly", G.side_level(c("_h")))
+    levels = sized.groupBy(*keys, "_lx", "_ly").agg(F.max("_w").alias("_mw"), F.max("_h").alias("_mh"), F.min("_w").alias("_nw"), F.min("_h").alias("_nh"))
+    x, y = (c("left") + c("right")) / 2, (c("top") + c("bottom")) / 2
+    centres = sized.select(*keys, "_lx", "_ly", G.level_cell(x, c("_lx")).alias("_gx"), G.level_cell(y, c("_ly")).alias("_gy"), key, *G.SIDES)
+    wide = sized.withColumnRenamed("_lx", "_own").drop("_ly").join(levels, keys).filter((c("_lx") <= c("_own")) & (c("_mw") >= least * c("_w")) & (c("_mh") >= least * c("_h")) & (c("_w") >= least * c("_nw")) & (c("_h") >= least * c("_nh")))
+    reach = lambda one, other: (c(one) + c(other)) / 2 - least * F.greatest(c(one), c(other))
+    span = lambda at, by, level: F.explode(F.sequence(G.level_cell(at - by, level), G.level_cell(at + by, level)))
+    spread = wide.withColumn("_gx", span(x, reach("_w", "_mw"), c("_lx"))).withColumn("_gy", span(y, reach("_h", "_mh"), c("_ly"))).select(*keys, *G.CELLS, key, *G.SIDES, "_own")
+    p, q = centres.alias("p"), spread.alias("q")
+    boxes = [tuple(c(f"{n}.{s}") for s in G.SIDES) for n in ("p", "q")]
+    inside, sizes = G.intersection(*boxes), G.area(boxes[0]) + G.area(boxes[1])
+    on = ((c("p._lx") < c("q._own")) | (c(f"p.{key}") < c(f"q.{key}"))) & (c(f"p.{key}") != c(f"q.{key}")) & (inside > least * (sizes - inside))
+    for k in [*keys, *G.CELLS]:
+        on = on & (c(f"p.{k}") == c(f"q.{k}"))
+    return p.join(q.hint("merge"), on).select(*[c(f"p.{k}") for k in keys], F.least(f"p.{key}", f"q.{key}").alias("a"), F.greatest(f"p.{key}", f"q.{key}").alias("b"), (inside / (sizes - inside)).alias("iou"))
+
+
 def nearest_above(rows: DataFrame, headings: DataFrame, keys: list[str], key: str) -> DataFrame:
     """The lowest heading above a row that shares x with it: key, heading; ties to the least."""
     x, y, on = _pairs(rows, headings, keys)

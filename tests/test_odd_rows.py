@@ -7,7 +7,7 @@ import pytest
 
 from pagelake import catalog
 from pagelake.functions import geometry as G
-from pagelake.operators import matching
+from pagelake.operators import matching, measures
 
 
 def differences(spark, folder, name, **tables):
@@ -95,3 +95,22 @@ def test_points_meet_boxes_in_cells_of_their_size(spark):
     assert sorted(r.point for r in G.points_in_boxes(p, b, ["d"], "left_anti").collect()) == sorted({q[1] for q in points} - {q for q, _ in want})
     spread, cells = G.spread_boxes(b), G.at_levels(p, G.box_levels(b, ["d"]), ["d"])
     assert cells.join(spread, ["d", *G.CELLS]).count() < 0.3 * len(boxes) * len(points)
+
+
+def boxes_of(spark, seed, n=300, most=120):
+    rng = random.Random(seed)
+    rows = [("d", i, x, y, x + rng.choice((1, 3, 8, 30, 90)), y + rng.choice((1, 4, 9, 40))) for i in range(n) for x, y in [(float(rng.randint(0, most)), float(rng.randint(0, most)))]]
+    rows += [("d", n + r[1], *r[2:]) for r in rows[:40] for _ in range(1)] + [("d", 2 * n + r[1], *r[2:]) for r in rows[:20]]
+    return rows, spark.createDataFrame(rows, "d string, k int, left double, top double, right double, bottom double")
+
+
+def test_similar_boxes_are_those_of_all_pairs(spark):
+    rows, frame = boxes_of(spark, 9)
+
+    def iou(p, q):
+        w, h = min(p[4], q[4]) - max(p[2], q[2]), min(p[5], q[5]) - max(p[3], q[3])
+        inside = max(w, 0) * max(h, 0)
+        return inside / (sum((r[4] - r[2]) * (r[5] - r[3]) for r in (p, q)) - inside)
+
+    got = [(r.a, r.b) for r in measures.similar_boxes(frame, ["d"], "k", 0.3).collect()]
+    assert sorted(got) == sorted((p[1], q[1]) for p in rows for q in rows if p[1] < q[1] and iou(p, q) > 0.3)
