@@ -192,11 +192,27 @@ def _pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, Data
     return x, y, on
 
 
+def _two_of_equal(holders: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """The two least keys of each box: whichever row looks, the least that is not itself is there."""
+    place = F.row_number().over(Window.partitionBy(*keys, *G.SIDES).orderBy(key))
+    return holders.select(*keys, key, *G.SIDES).withColumn("_r", place).filter("_r <= 2").drop("_r")
+
+
+def _in_cell(keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in [*keys, *G.CELLS]:
+        on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    return on
+
+
 def outside_others(rows: DataFrame, keys: list[str], key: str, holders: DataFrame | None = None) -> DataFrame:
-    """Rows that no other box of their page holds whole."""
-    x, y, on = _pairs(rows, rows if holders is None else holders, keys)
+    """Rows (of one key each) that no other box of their page holds whole. A row looks in the cell of its corner, on each level of the
+    holders' sizes, and stops at the first that holds it."""
+    h = _two_of_equal(rows if holders is None else holders, keys, key)
+    x, y = G.at_levels(rows.select(*keys, key, *G.SIDES), G.box_levels(h, keys), keys, "left", "top").alias("x"), G.spread_boxes(h).alias("y")
     held = (F.col("y.left") <= F.col("x.left")) & (F.col("y.top") <= F.col("x.top")) & (F.col("y.right") >= F.col("x.right")) & (F.col("y.bottom") >= F.col("x.bottom"))
-    return x.join(y, on & (F.col(f"x.{key}") != F.col(f"y.{key}")) & held, "left_anti")
+    gone = x.join(y.hint("merge"), _in_cell(keys) & held & (F.col(f"x.{key}") != F.col(f"y.{key}")), "left_semi").select(*keys, key).distinct()
+    return rows.join(gone, [*keys, key], "left_anti").select(rows.columns)
 
 
 def smallest_holder(rows: DataFrame, holders: DataFrame, keys: list[str], key: str) -> DataFrame:

@@ -114,3 +114,22 @@ def test_similar_boxes_are_those_of_all_pairs(spark):
 
     got = [(r.a, r.b) for r in measures.similar_boxes(frame, ["d"], "k", 0.3).collect()]
     assert sorted(got) == sorted((p[1], q[1]) for p in rows for q in rows if p[1] < q[1] and iou(p, q) > 0.3)
+
+
+def test_holders_are_those_of_all_pairs(spark):
+    rows, frame = boxes_of(spark, 10)
+    centre = lambda p: ((p[2] + p[4]) / 2, (p[3] + p[5]) / 2)
+    holds = lambda q, p: q[2] <= centre(p)[0] <= q[4] and q[3] <= centre(p)[1] <= q[5]
+    whole = lambda q, p: q[2] <= p[2] and q[3] <= p[3] and q[4] >= p[4] and q[5] >= p[5]
+    small = {p[1]: min(((q[4] - q[2]) * (q[5] - q[3]), q[1]) for q in rows if q[1] != p[1] and holds(q, p))[1] for p in rows if any(q[1] != p[1] and holds(q, p) for q in rows)}
+    assert {r.k: r.holder for r in measures.smallest_holder(frame, frame, ["d"], "k").collect()} == small
+    alone = sorted(p[1] for p in rows if not any(q[1] != p[1] and whole(q, p) for q in rows))
+    assert sorted(r.k for r in measures.outside_others(frame, ["d"], "k").collect()) == alone
+
+
+@pytest.mark.parametrize("name", ["contained_anti"])
+def test_holders_are_looked_up_by_cell(spark, tmp_path, name):
+    part = PARTS.format(2000)
+    assert differences(spark, tmp_path, name, part=part) == [[], []]
+    plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "_gx" in plan and "_gy" in plan
