@@ -216,13 +216,17 @@ def outside_others(rows: DataFrame, keys: list[str], key: str, holders: DataFram
 
 
 def smallest_holder(rows: DataFrame, holders: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """The smallest box of the page, not the row's own, that holds a row's centre: key, holder; ties to the least."""
-    x, y, on = _pairs(rows, holders, keys)
+    """The smallest box of the page, not the row's own, that holds a row's centre: key, holder; ties to the least. Holders are numbered
+    by size first, so that a row keeps one number of those in its centre's cells."""
     c = F.col
-    inside = ((c("x.left") + c("x.right")) / 2).between(c("y.left"), c("y.right")) & ((c("x.top") + c("x.bottom")) / 2).between(c("y.top"), c("y.bottom"))
-    area = (c("y.right") - c("y.left")) * (c("y.bottom") - c("y.top"))
-    met = x.join(y, on & (c(f"x.{key}") != c(f"y.{key}")) & inside).select(c(f"x.{key}").alias(key), c(f"y.{key}").alias("holder"), area.alias("a"))
-    return met.groupBy(key).agg(F.min_by("holder", F.struct("a", "holder")).alias("holder"))
+    area = (c("right") - c("left")) * (c("bottom") - c("top"))
+    h = _two_of_equal(holders, keys, key).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(area, key)))
+    centres = rows.select(*keys, key, ((c("left") + c("right")) / 2).alias("x"), ((c("top") + c("bottom")) / 2).alias("y"))
+    x, y = G.at_levels(centres, G.box_levels(h, keys), keys).alias("x"), G.spread_boxes(h).alias("y")
+    inside = c("x.x").between(c("y.left"), c("y.right")) & c("x.y").between(c("y.top"), c("y.bottom"))
+    met = x.join(y.hint("merge"), _in_cell(keys) & inside & (c(f"x.{key}") != c(f"y.{key}")))
+    least = met.groupBy(*[c(f"x.{k}") for k in (*keys, key)]).agg(F.min("_rank").alias("_rank"))
+    return least.join(h.select(*keys, "_rank", c(key).alias("holder")), [*keys, "_rank"]).select(key, "holder")
 
 
 def similar_boxes(rows: DataFrame, keys: list[str], key: str, least: float) -> DataFrame:

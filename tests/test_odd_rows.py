@@ -127,7 +127,7 @@ def test_holders_are_those_of_all_pairs(spark):
     assert sorted(r.k for r in measures.outside_others(frame, ["d"], "k").collect()) == alone
 
 
-@pytest.mark.parametrize("name", ["contained_anti"])
+@pytest.mark.parametrize("name", ["smallest_container", "contained_anti"])
 def test_holders_are_looked_up_by_cell(spark, tmp_path, name):
     part = PARTS.format(2000)
     assert differences(spark, tmp_path, name, part=part) == [[], []]
